@@ -9,6 +9,8 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _shipped: set[str] = set()
 _scratch: dict[str, str] = {}
@@ -62,3 +64,13 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def widened(df: DataFrame, ddl: str) -> StructType:
+    """The schema of `df` followed by the columns of `ddl`, for Python stages."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
+
+
+def broadcast_if_small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """`df` marked for broadcasting if it is counted to have few rows; otherwise as it is, for a shuffle join."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
