@@ -5,23 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import langid, mixing, quality, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from `labels` outside the held-out fold."""
+    docs = _documents(spark, sf_dir)
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = quality.classify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in 16 shards by balanced label propagation, law `rows`."""
     out = sharding.assign(_documents(spark, sf_dir))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from `lang` outside the held-out fold."""
+    docs = _documents(spark, sf_dir)
+    out = langid.predict(docs.select("doc_id", "text"), langid.train(docs))
+    return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), "rejected")
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words each document gives to the capped mix of sources."""
     return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op4_shard": op4_shard, "op9_mix": op9_mix}
+QUERIES = {"op1_quality": op1_quality, "op4_shard": op4_shard, "op8_language": op8_language, "op9_mix": op9_mix}
 SQL = {"op9_mix": mixing.SQL}
