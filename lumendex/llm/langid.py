@@ -43,7 +43,9 @@ class Params:
     dim: int = 16
     epochs: int = 6
     batch: int = 64
-    rate: float = 8.0
+    #: Steps of descent at least; small samples are gone through more often.
+    least_steps: int = 1500
+    rate: float = 30.0
     #: Labelled rows per language that training reads at most.
     rows_per_language: int = 2000
     #: Part of held-back rows of known language that may be rejected.
@@ -127,8 +129,10 @@ def fit(pieces: list[list[str]], labels: list[str], test: np.ndarray, params: Pa
     out, bias = np.zeros((params.dim, len(languages)), np.float32), np.zeros(len(languages), np.float32)
     out += rng.normal(0, 0.1, out.shape).astype(np.float32)
     train = np.flatnonzero(~test)
-    steps, done = params.epochs * (len(train) // params.batch + 1), 0
-    for _ in range(params.epochs):
+    per_epoch = len(train) // params.batch + 1
+    epochs = max(params.epochs, -(-params.least_steps // per_epoch))
+    steps, done = epochs * per_epoch, 0
+    for _ in range(epochs):
         rng.shuffle(train)
         for a in range(0, len(train), params.batch):
             rows = train[a : a + params.batch]
