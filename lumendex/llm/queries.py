@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, quality, sharding
+from . import htmltext, langid, mixing, quality, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,5 +38,11 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_quality": op1_quality, "op4_shard": op4_shard, "op8_language": op8_language, "op9_mix": op9_mix}
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return htmltext.extract_pages(pages).select("page_id", "url", "text", "n_chars")
+
+
+QUERIES = {"op1_quality": op1_quality, "op4_shard": op4_shard, "op8_language": op8_language, "op9_mix": op9_mix, "op10_html": op10_html}
 SQL = {"op9_mix": mixing.SQL}
