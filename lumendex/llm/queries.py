@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, langid, mixing, quality, sharding
+from . import htmltext, langid, mixing, quality, secrets, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,21 @@ def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: counts and digest of the base patterns, and all spans."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    out = secrets.scan(docs, secrets.train(docs)).select("doc_id", "spans")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    base = joined(F.filter("spans", lambda x: x["kind"] != "cnn"))
+    return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(base.cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from `lang` outside the held-out fold."""
     docs = _documents(spark, sf_dir)
@@ -44,5 +59,5 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_pages(pages).select("page_id", "url", "text", "n_chars")
 
 
-QUERIES = {"op1_quality": op1_quality, "op4_shard": op4_shard, "op8_language": op8_language, "op9_mix": op9_mix, "op10_html": op10_html}
+QUERIES = {"op1_quality": op1_quality, "op4_shard": op4_shard, "op6_secrets": op6_secrets, "op8_language": op8_language, "op9_mix": op9_mix, "op10_html": op10_html}
 SQL = {"op9_mix": mixing.SQL}
