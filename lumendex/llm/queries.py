@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, langid, mixing, quality, secrets, sharding
+from . import bpe, fingerprint, htmltext, langid, mixing, quality, secrets, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edit with the next one, and their likenesses."""
+    return fingerprint.fingerprints(_documents(spark, sf_dir))
+
+
 def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in 16 shards by balanced label propagation, law `rows`."""
     out = sharding.assign(_documents(spark, sf_dir))
@@ -41,6 +46,25 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(base.cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def word_vocabulary() -> bpe.Vocabulary:
+    """The public word-end vocabulary of 49,408 ids."""
+    import public_tokenizers
+
+    return bpe.Vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and what they decode to, as digests."""
+    vocabulary = word_vocabulary()
+    ids = bpe.encode(_documents(spark, sf_dir).select("doc_id", "text"), vocabulary, keep_text=False)
+    out = bpe.decode(ids, vocabulary)
+    digits = F.array_join(F.transform("ids", lambda x: x.cast("string")), " ")
+    return out.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from `lang` outside the held-out fold."""
     docs = _documents(spark, sf_dir)
@@ -59,5 +83,5 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_pages(pages).select("page_id", "url", "text", "n_chars")
 
 
-QUERIES = {"op1_quality": op1_quality, "op4_shard": op4_shard, "op6_secrets": op6_secrets, "op8_language": op8_language, "op9_mix": op9_mix, "op10_html": op10_html}
+QUERIES = {"op1_quality": op1_quality, "op3_fingerprint": op3_fingerprint, "op4_shard": op4_shard, "op6_secrets": op6_secrets, "op7_bpe": op7_bpe, "op8_language": op8_language, "op9_mix": op9_mix, "op10_html": op10_html}
 SQL = {"op9_mix": mixing.SQL}
