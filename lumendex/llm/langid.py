@@ -47,7 +47,7 @@ class Params:
     least_steps: int = 1500
     rate: float = 30.0
     #: Labelled rows per language that training reads at most.
-    rows_per_language: int = 2000
+    rows_per_language: int = 1000
     #: Part of held-back rows of known language that may be rejected.
     false_rejection: float = 0.001
     seed: int = 5
@@ -122,8 +122,18 @@ def fit(pieces: list[list[str]], labels: list[str], test: np.ndarray, params: Pa
     if not languages:
         return Model([], np.zeros((params.buckets, 0), np.float32), np.zeros(0, np.float32))
     y = np.array([languages.index(x) for x in labels])
-    flat, offs = subwords([w for p in pieces for w in p], params.buckets)
-    ends = offs[np.concatenate(([0], np.cumsum([len(p) for p in pieces])))]
+    known = {w: i for i, w in enumerate(dict.fromkeys(w for p in pieces for w in p))}
+    flat, offs = subwords(list(known), params.buckets)  # of the distinct words only
+    ids = [np.array([known[w] for w in p]) for p in pieces]
+    each = np.diff(offs)
+
+    def gather(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of the pieces' subwords, flattened, and their number in each piece."""
+        words = np.concatenate([ids[r] for r in rows])
+        n = each[words]
+        at = np.repeat(offs[words] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        return flat[at], np.add.reduceat(n, np.concatenate(([0], np.cumsum([len(ids[r]) for r in rows])[:-1])))
+
     rng = np.random.default_rng(params.seed)
     emb = rng.normal(0, 0.1, (params.buckets, params.dim)).astype(np.float32)
     out, bias = np.zeros((params.dim, len(languages)), np.float32), np.zeros(len(languages), np.float32)
@@ -138,8 +148,7 @@ def fit(pieces: list[list[str]], labels: list[str], test: np.ndarray, params: Pa
             rows = train[a : a + params.batch]
             rate = np.float32(params.rate * (1 - done / steps))
             done += 1
-            idx = np.concatenate([flat[ends[r] : ends[r + 1]] for r in rows])
-            count = ends[rows + 1] - ends[rows]
+            idx, count = gather(rows)
             owner = np.repeat(np.arange(len(rows)), count)
             mean = np.add.reduceat(emb[idx], np.concatenate(([0], np.cumsum(count)[:-1])), axis=0) / count[:, None]
             g = _softmax(mean @ out + bias)
@@ -153,7 +162,7 @@ def fit(pieces: list[list[str]], labels: list[str], test: np.ndarray, params: Pa
     held = np.flatnonzero(test)
     model = Model(languages, table, bias)
     if len(held):
-        logits = np.stack([table[flat[ends[r] : ends[r + 1]]].mean(axis=0) for r in held]) + bias
+        logits = np.stack([table[gather([r])[0]].mean(axis=0) for r in held]) + bias
         best = min(
             np.geomspace(0.05, 5, 40), key=lambda t: -np.log(np.maximum(_softmax(logits / t)[np.arange(len(held)), y[held]], 1e-12)).mean()
         )
