@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, htmltext, langid, mixing, quality, secrets, sharding
+from . import bpe, fingerprint, htmltext, langid, mixing, neardup, quality, secrets, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of near-duplicates of every document, and whether the document stands for it."""
+    return neardup.near_duplicates(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edit with the next one, and their likenesses."""
     return fingerprint.fingerprints(_documents(spark, sf_dir))
@@ -83,5 +88,5 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_pages(pages).select("page_id", "url", "text", "n_chars")
 
 
-QUERIES = {"op1_quality": op1_quality, "op3_fingerprint": op3_fingerprint, "op4_shard": op4_shard, "op6_secrets": op6_secrets, "op7_bpe": op7_bpe, "op8_language": op8_language, "op9_mix": op9_mix, "op10_html": op10_html}
+QUERIES = {"op1_quality": op1_quality, "op2_near_duplicates": op2_near_duplicates, "op3_fingerprint": op3_fingerprint, "op4_shard": op4_shard, "op6_secrets": op6_secrets, "op7_bpe": op7_bpe, "op8_language": op8_language, "op9_mix": op9_mix, "op10_html": op10_html}
 SQL = {"op9_mix": mixing.SQL}
