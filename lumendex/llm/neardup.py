@@ -236,3 +236,20 @@ def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
     alone = rows.filter((F.col("n") == 0) | F.col("doc_id").isNull()).select("doc_id", "n", F.col("doc_id").alias("component"))
     out = some.join(of_set, same).select("doc_id", "n", "component").unionByName(alone)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, params: Params | None = None) -> DataFrame:
+    """Those rows of `docs` that stand for their component; all columns stay.
+
+    Rows that share both doc_id and text count as one, and one of them stays; rows
+    without a doc_id all stay.
+    """
+    found = saved(near_duplicates(docs.select("doc_id", "text"), params), "dup-result")
+    gone = found.filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    twice = saved(found.filter("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_twice")).count().filter("count > 1").select("_twice"), "dup-twice")
+    rest = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    if not twice.limit(1).count():
+        return rest
+    single = rest.join(twice, F.col("doc_id") == F.col("_twice"), "left_anti")
+    repeated = rest.join(twice, F.col("doc_id") == F.col("_twice"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return single.unionByName(repeated)

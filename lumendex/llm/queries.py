@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, htmltext, langid, mixing, neardup, quality, secrets, sharding
+from . import bpe, fingerprint, htmltext, langid, mixing, neardup, quality, search, secrets, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,11 @@ def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents by BM25 for the whole text of every document whose id is divisible by 20."""
+    return search.top_k(_documents(spark, sf_dir).select("doc_id", "text"), F.col("doc_id") % 20 == 0)
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: counts and digest of the base patterns, and all spans."""
     docs = _documents(spark, sf_dir).select("doc_id", "text")
@@ -88,5 +93,5 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_pages(pages).select("page_id", "url", "text", "n_chars")
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_near_duplicates": op2_near_duplicates, "op3_fingerprint": op3_fingerprint, "op4_shard": op4_shard, "op6_secrets": op6_secrets, "op7_bpe": op7_bpe, "op8_language": op8_language, "op9_mix": op9_mix, "op10_html": op10_html}
+QUERIES = {"op1_quality": op1_quality, "op2_near_duplicates": op2_near_duplicates, "op3_fingerprint": op3_fingerprint, "op4_shard": op4_shard, "op5_search": op5_search, "op6_secrets": op6_secrets, "op7_bpe": op7_bpe, "op8_language": op8_language, "op9_mix": op9_mix, "op10_html": op10_html}
 SQL = {"op9_mix": mixing.SQL}
