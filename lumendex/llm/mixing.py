@@ -7,8 +7,8 @@ source size)` times as a whole, and once more if its seeded hash is not above th
 source's cut, which is set so that the words taken come as near the target as
 whole documents allow.
 
-Only one number per source is joined to the documents, so texts are not shuffled
-however skewed the sources are.
+Only a row per source is joined to the documents, broadcast while the sources are
+counted to be few, so that texts are not shuffled however skewed the sources are.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import saved
+from ..runtime import broadcast_if_small, saved
 
 #: Hash buckets of the first pass that looks for a source's cut: as many as three hex digits.
 _DIGITS = 3
@@ -78,6 +78,7 @@ def plan(docs: DataFrame, epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3),
         .filter((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("n") <= F.col("need")))
         .select("l.source", "b", (F.col("upto") - F.col("n")).alias("base"), "need")
     )
+    crossing = broadcast_if_small(saved(crossing, "mix-crossing"))  # a row or two a source
     near = (
         slim.withColumn("b", F.substring("h", 1, _DIGITS)).alias("l")
         .join(crossing.alias("r"), same & (F.col("l.b") == F.col("r.b")))
@@ -104,7 +105,7 @@ def mix(docs: DataFrame, epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3),
     give the same result.
     """
     added = ("size", "source_size", "target", "repeats", "taken")
-    per_source = plan(docs, epochs, weights, seed)
+    per_source = broadcast_if_small(saved(plan(docs, epochs, weights, seed), "mix-plan"))  # a row a source
     docs = docs.drop(*added)
     left = docs.withColumn("size", word_count(F.col("text"))).withColumn("_h", _hash(seed))
     once = (F.col("_h") <= F.col("r.cut")).cast("long")
