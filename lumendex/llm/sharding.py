@@ -87,12 +87,16 @@ def assign(docs: DataFrame, shards: int = 16, rounds: int = 4) -> DataFrame:
         waiting = asked.filter("NOT ok").select(*_G, "n", "at")
         if waiting.isEmpty():
             break
-    known = groups.select(*_G, F.lit(True).alias("linked"))
+    known = groups.filter(F.col("n") <= most).select(*_G, F.lit(True).alias("linked"))
     if placed is not None:
         known = known.join(placed, _G, "left")
     else:
         known = known.withColumn("label", F.lit(None).cast("int"))
-    rows = saved(slim.join(known, _G, "left"), "shard-known")
+    large = groups.filter(F.col("n") > most).select(*_G, F.lit(True).alias("large"))  # at most 8 groups a shard
+    slim = slim.join(F.broadcast(large), _G, "left")
+    few = slim.filter(F.col("large").isNull()).join(known, _G, "left")
+    many = slim.filter("large").withColumn("linked", F.lit(True)).withColumn("label", F.lit(None).cast("int"))
+    rows = saved(few.unionByName(many).drop("large"), "shard-known")
     rest = (
         rows.filter(F.col("label").isNull())
         .withColumn("tier", F.when(F.col("linked"), 0).otherwise(1))
