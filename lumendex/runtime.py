@@ -8,7 +8,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -74,3 +74,22 @@ def widened(df: DataFrame, ddl: str) -> StructType:
 def broadcast_if_small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
     """`df` marked for broadcasting if it is counted to have few rows; otherwise as it is, for a shuffle join."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+def dense_ids(df: DataFrame, order: list[str], name: str, start: int = 1) -> DataFrame:
+    """`df` with ids from `start` without gaps, in the order of `order`.
+
+    Rows are dealt to ranges and written; the ranges' row counts, one number per
+    range, give each its first id, so that no task sees more than its range.
+    """
+    ranges = saved(df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = sorted(tuple(r) for r in ranges.groupBy("_range").count().collect())
+    first, offsets = start, {}
+    for part, n in counts:
+        offsets[part] = first
+        first += n
+    if not offsets:
+        return ranges.drop("_range").withColumn(name, F.lit(None).cast("long"))
+    base = F.map_from_arrays(F.array(*[F.lit(p) for p in offsets]), F.array(*[F.lit(n).cast("long") for n in offsets.values()]))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return ranges.withColumn(name, F.element_at(base, F.col("_range")) + place).drop("_range")
