@@ -17,7 +17,13 @@ _scratch: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to every executor once per application, so Python stages can import it anywhere."""
+    """Send this package to every executor once per application, so Python stages can import it anywhere.
+
+    Rows go to Python in batches of at most 1000, unless the session says less: texts
+    are long, and Spark's usual 10,000 would hold many megabytes in every task.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
