@@ -8,9 +8,9 @@
    a star, so a bucket of n gives n - 1 pairs.  Pairs whose set sizes cannot reach
    the similarity go; the others are confirmed on the full sets.
 4. Connected classes are found by label propagation with pointer jumping.
-5. A bucket whose classes are all in one component by then is done.  Any other may
-   hide a link between two of its classes that the centre does not share, so its
-   members are compared block by block: each task gets two bounded blocks, counts
+5. The centre has been compared with all of its bucket by then.  If the others are
+   not all in one component, a link between two of them may be left, so they are
+   compared block by block: each task gets two bounded blocks, counts
    common shingles by matrix products, and returns a forest of the links it finds
    between components.  The components are then joined.
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import saved, ship
+from ..runtime import broadcast_if_small, saved, ship
 from .kernels import U, Words, bands, buffers, chunks, mix, one_permutation, shingles
 
 _SET = ["s1", "s2", "n"]
@@ -178,7 +178,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, params: Params) -> DataFrame:
 
 
 def _rest(members: DataFrame, labels: DataFrame, texts: DataFrame, params: Params) -> DataFrame:
-    """Links (a, b) between components inside buckets (bucket, id, n) that hold more than one component."""
+    """Links (a, b) between components inside buckets (bucket, id, n; without centres) that hold more than one component."""
     k, percent = params.words, params.percent
     known = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     known = saved(known, "dup-known")
@@ -213,9 +213,11 @@ def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
     rows = saved(signatures(docs, params), "dup-rows")
     some = rows.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = saved(some.groupBy(*_SET).agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")), "dup-classes")
-    heads = some.join(classes.select(F.col("id").alias("doc_id"), *_SET), ["doc_id", *_SET], "left_semi").dropDuplicates(["doc_id", *_SET])
-    cells = heads.select(F.col("doc_id").alias("id"), "n", F.explode("bands").alias("key"))
-    members = cells.join(cells.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("centre"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("same")).filter("m > 1"), "key")
+    heads = some.join(classes.select(F.col("id").alias("doc_id"), *_SET), ["doc_id", *_SET], "left_semi")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = heads.select(F.col("doc_id").alias("id"), "n", F.explode("bands").alias("key")).repartition(parts, "key")  # one shuffle for the counts and the join
+    shared = cells.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("centre"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("same"))
+    members = cells.join(shared.filter("m > 1"), "key")
     # buckets of the same classes are one: by their number, least id and sum of hashes
     members = members.select(F.xxhash64("m", "centre", "same").alias("bucket"), "centre", "id", "n").distinct()
     members = saved(members, "dup-members")
@@ -224,10 +226,13 @@ def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
     stars = saved(stars.select(F.col("centre").alias("a"), F.col("id").alias("b")), "dup-stars")
     wanted = members.select("id").distinct()
     source = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    texts = saved(source.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "dup-texts")
+    texts = source.join(broadcast_if_small(saved(wanted, "dup-wanted"), 1_000_000), "id", "left_semi")
+    if not rows.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        texts = texts.dropDuplicates(["id"])
+    texts = saved(texts, "dup-texts")
     links = saved(_confirm(stars, texts, params), "dup-links")
     labels = components(links)
-    more = saved(_rest(members.select("bucket", "id", "n"), labels, texts, params), "dup-more")
+    more = saved(_rest(members.filter("id <> centre").select("bucket", "id", "n"), labels, texts, params), "dup-more")
     if more.limit(1).count():
         labels = components(links.unionByName(more))
     component = F.coalesce("label", "id")
