@@ -1,8 +1,7 @@
 """Byte-pair encoding and decoding of a corpus through a table of its distinct words.
 
 Texts are split into words in Spark, words are counted, and each distinct word is
-encoded once by the tokenizers library.  Ids come back by position in two joins:
-the most frequent words, a table of bounded size, are broadcast and looked up in
+encoded once by the tokenizers library.  Ids come back by position: the most frequent words, a table of bounded size, are broadcast and looked up in
 place; the rest are joined on the word, and back on the document.  A word that is
 too rare for the broadcast is by that rare, so the join on words has no hot key.
 Decoding joins ids to pieces of the vocabulary, also a table of bounded size.
@@ -16,6 +15,7 @@ white space is one word, which the library then splits by its own tables.
 from __future__ import annotations
 
 import json
+import os
 import re
 import uuid
 from collections import Counter
@@ -24,14 +24,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from ..runtime import saved, ship, widened
 
-#: Words that are broadcast at most.
-HEAD = 200_000
+#: Words that are broadcast at most: some 25 bytes each, in the driver and in every worker.
+HEAD = 4_000_000
 #: Distinct words a task counts before it passes them on.
 COUNTED = 300_000
 
@@ -120,6 +120,7 @@ def word_table(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         tok = _once(name, lambda: Tokenizer.from_str(source.value))
@@ -133,29 +134,69 @@ def word_table(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return saved(distinct_words(docs).mapInArrow(run, "word string, n long, ids binary"), "words")
 
 
-def _head(words: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """The most frequent words, `most` at most, and all others: cut between classes of frequency."""
+def _head(words: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """The most frequent words, `most` at most, and all others (None if there are none): cut between classes of frequency."""
     level = F.floor(F.log2("n") * 16)
     classes = sorted((tuple(r) for r in words.groupBy(level.alias("c")).count().collect()), reverse=True)  # some hundreds
     cut, total = 1 << 30, 0
     for c, n in classes:
         if total + n > most:
-            break
+            return words.filter(level >= cut), words.filter(level < cut)
         cut, total = c, total + n
-    return words.filter(level >= cut), words.filter(level < cut)
+    return words, None
 
 
-def _lookup(head: DataFrame) -> Broadcast:
-    table = head.select("word", "ids").toArrow()
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as out:
-        out.write_table(table)
-    return head.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+class Lookup:
+    """A bounded table of words as flat arrays: hashes in order, and where each word's ids lie in one array.
 
+    It is made on the driver and broadcast as it is, so that workers build nothing.
+    Words of equal hash, should there be any, are told apart by themselves.
+    """
 
-def _dict(raw: bytes) -> dict[str, bytes]:
-    table = pa.ipc.open_stream(raw).read_all()
-    return dict(zip(table["word"].to_pylist(), table["ids"].to_pylist(), strict=True))
+    def __init__(self, hashes: np.ndarray, ids: pa.BinaryArray, dtype: str, clash: dict[str, bytes] | None = None):
+        width = np.dtype(dtype).itemsize
+        n = pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64) // width
+        order = np.argsort(hashes, kind="stable")
+        self.hash = hashes[order]
+        self.first = (np.cumsum(n) - n)[order].astype(np.uint32)
+        self.size = n[order].astype(np.int32)
+        self.ids = np.frombuffer(b"".join(ids.to_pylist()), dtype)
+        self.clash: dict[str, tuple[int, int]] = {}
+        for word, own in (clash or {}).items():
+            self.clash[word] = len(self.ids), len(own) // width
+            self.ids = np.concatenate([self.ids, np.frombuffer(own, dtype)])
+
+    @classmethod
+    def of(cls, head: DataFrame, dtype: str) -> Lookup:
+        """The table of words (word, ids)."""
+        table = head.select(F.xxhash64("word").alias("h"), "ids").toArrow().combine_chunks()
+        h = table["h"].to_numpy() if table.num_rows else np.zeros(0, np.int64)
+        ids = table["ids"].combine_chunks() if table.num_rows else pa.array([], pa.binary())
+        once, count = np.unique(h, return_counts=True)
+        twice = once[count > 1].tolist()
+        clash = {r["word"]: bytes(r["ids"]) for r in head.filter(F.xxhash64("word").isin(twice)).collect()} if twice else {}
+        return cls(h, ids if isinstance(ids, pa.Array) else ids.chunk(0), dtype, clash)
+
+    def find(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether each word is known, and its first id and number of ids."""
+        none = np.zeros(len(words), np.int64)
+        if not len(self.hash) or not words:
+            return none.astype(bool), none, none
+        h = np.fromiter((xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42) for w in words), np.uint64, len(words)).view(np.int64)
+        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+        known = self.hash[at] == h
+        first, size = self.first[at].astype(np.int64), np.where(known, self.size[at], 0).astype(np.int64)
+        if self.clash:
+            for i, w in enumerate(words):
+                if w in self.clash:
+                    first[i], size[i] = self.clash[w]
+        return known, first, size
+
+    def gather(self, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The ids of words, one after the other."""
+        n = size.cumsum()
+        total = int(n[-1]) if len(n) else 0
+        return self.ids[np.repeat(first - (n - size), size) + np.arange(total)]
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, head: int = HEAD, keep_text: bool = True) -> DataFrame:
@@ -170,82 +211,81 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, head: int = HEAD, keep_text:
     ship(spark)
     docs = docs.drop("ids")
     dtype = vocabulary.dtype
-    width = np.dtype(dtype).itemsize
-    words = word_table(docs, vocabulary)
-    frequent, rare = _head(words, head)
-    known, name = _lookup(frequent), uuid.uuid4().hex
-    keyed = docs.withColumn("_h", F.xxhash64("text")).select(*[c for c in docs.columns if c != "text"], "_h", "text")
-    main = keyed.select("*") if not keep_text else keyed.withColumn("_read", F.col("text"))
-    last = len(main.columns) - 1
+    frequent, rare = _head(word_table(docs, vocabulary), head)
+    known = spark.sparkContext.broadcast(Lookup.of(frequent, dtype))
     kept = [c for c in docs.columns if keep_text or c != "text"]
+    plain = len(kept)
+    more = [] if rare is None else ["_h"]
+    keyed = docs.withColumn("_h", F.xxhash64("text"))
+    main = keyed.select(*kept, *more, F.col("text").alias("_read"))
+    whole_rows, has_tail = plain + len(more), rare is not None
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """ids of the frequent words, and where, in words and in ids, others are missing."""
+        look = known.value
+        for whole in batches:
+            for a in range(0, whole.num_rows, 500):
+                b = whole.slice(a, 500)
+                lists = [words_of(t) for t in b.column(whole_rows).to_pylist()]
+                ends = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int64)
+                have, first, size = look.find([w for x in lists for w in x])
+                upto = np.concatenate(([0], np.cumsum(size)))
+                ids = pa.ListArray.from_arrays(pa.array(upto[ends].astype(np.int32)), pa.array(look.gather(first, size).astype(np.int32)))
+                out, names = [*b.columns[:whole_rows], ids], [*b.schema.names[:whole_rows], "ids"]
+                if has_tail:
+                    gone = np.flatnonzero(~have)
+                    doc = np.searchsorted(ends, gone, side="right") - 1
+                    cuts = pa.array(np.searchsorted(gone, ends).astype(np.int32))
+                    for at in (gone - ends[doc], upto[gone] - upto[ends[doc]]):
+                        out.append(pa.ListArray.from_arrays(cuts, pa.array(at.astype(np.int32))))
+                    names += ["_words_at", "_ids_at"]
+                yield pa.RecordBatch.from_arrays(out, names)
+
+    gaps_ddl = "" if rare is None else ", _words_at array<int>, _ids_at array<int>"
+    laid = main.mapInArrow(place, widened(main.drop("_read"), f"ids array<int>{gaps_ddl}"))
+    if rare is None:
+        return laid
 
     def gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(doc_id, _h, at, word) of words that are not frequent; `at` is their place among the words."""
-        look = _once(name, lambda: _dict(known.value))
-        for b in batches:
-            row, at, word = [], [], []
-            for i, text in enumerate(b.column(2).to_pylist()):
-                for k, w in enumerate(words_of(text)):
-                    if w not in look:
-                        row.append(i)
-                        at.append(k)
-                        word.append(w)
-            where = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(where), b.column(1).take(where), pa.array(at, pa.int32()), pa.array(word, pa.string())], ["doc_id", "_h", "at", "word"]
-            )
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """ids of the frequent words as bytes, and where, in words and in ids, others are missing."""
-        look = _once(name, lambda: _dict(known.value)).get
+        look = known.value
         for whole in batches:
-            for a in range(0, whole.num_rows, 1000):
-                b = whole.slice(a, 1000)
-                ids, words_at, ids_at = [], [], []
-                for text in b.column(last).to_pylist():
-                    got = list(map(look, words_of(text)))
-                    if None in got:
-                        missing = [k for k, x in enumerate(got) if x is None]
-                        size = np.cumsum([0 if x is None else len(x) for x in got])
-                        words_at.append(missing)
-                        ids_at.append((size[missing] // width).tolist())
-                        ids.append(b"".join([x for x in got if x is not None]))
-                    else:
-                        ids.append(b"".join(got))
-                        words_at.append([])
-                        ids_at.append([])
-                found = [pa.array(ids, pa.binary()), pa.array(words_at, pa.list_(pa.int32())), pa.array(ids_at, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays([*b.columns[:last], *found], [*b.schema.names[:last], "_ids", "_words_at", "_ids_at"])
-
-    kinds = dict(docs.dtypes)
+            for a in range(0, whole.num_rows, 500):
+                b = whole.slice(a, 500)
+                lists = [words_of(t) for t in b.column(2).to_pylist()]
+                ends = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int64)
+                words = [w for x in lists for w in x]
+                gone = np.flatnonzero(~look.find(words)[0])
+                doc = np.searchsorted(ends, gone, side="right") - 1
+                columns = [b.column(0).take(pa.array(doc)), b.column(1).take(pa.array(doc)), pa.array((gone - ends[doc]).astype(np.int32)), pa.array([words[i] for i in gone], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "_h", "at", "word"])
+
     tail = (
         keyed.select("doc_id", "_h", "text")
-        .mapInArrow(gaps, f"doc_id {kinds['doc_id']}, _h long, at int, word string")
-        .join(rare.select("word", "ids"), "word")
-        .groupBy("doc_id", "_h").agg(F.collect_set(F.struct("at", "ids")).alias("_tail"))
+        .mapInArrow(gaps, f"doc_id {dict(docs.dtypes)['doc_id']}, _h long, at int, word string")
+        .join(rare.select("word", F.col("ids").alias("found")), "word")
+        .groupBy("doc_id", "_h").agg(F.collect_set(F.struct("at", "found")).alias("_tail"))
     )
-    laid = main.mapInArrow(place, widened(main.drop(main.columns[last]), "_ids binary, _words_at array<int>, _ids_at array<int>"))
     same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & F.col("l._h").eqNullSafe(F.col("r._h"))
-    joined = laid.alias("l").join(tail.alias("r"), same, "left").select(*[F.col(f"l.{c}") for c in kept], "_ids", "_words_at", "_ids_at", "_tail")
-    plain = len(kept)
+    joined = laid.alias("l").join(tail.alias("r"), same, "left").select(*[F.col(f"l.{c}") for c in kept], "ids", "_words_at", "_ids_at", "_tail")
 
     def splice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for a in range(0, whole.num_rows, 1000):
-                b = whole.slice(a, 1000)
+            for a in range(0, whole.num_rows, 500):
+                b = whole.slice(a, 500)
                 out = []
-                for raw, at_w, at_i, tail in zip(*[b.column(plain + k).to_pylist() for k in range(4)], strict=True):
+                for i, (at_w, at_i, tail) in enumerate(zip(*[b.column(plain + k).to_pylist() for k in (1, 2, 3)], strict=True)):
+                    ids = b.column(plain)[i].values.to_numpy()
                     if at_w:
-                        found = {t["at"]: t["ids"] for t in tail}
+                        found = {t["at"]: np.frombuffer(t["found"], dtype) for t in tail}
                         parts, done = [], 0
-                        for w, i in zip(at_w, at_i, strict=True):
-                            parts += [raw[done : i * width], found[w]]
-                            done = i * width
-                        raw = b"".join([*parts, raw[done:]])
-                    out.append(raw)
-                ends = np.concatenate(([0], np.cumsum([len(x) // width for x in out]))).astype(np.int32)
-                values = np.frombuffer(b"".join(out), dtype).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+                        for w, k in zip(at_w, at_i, strict=True):
+                            parts += [ids[done:k], found[w]]
+                            done = k
+                        ids = np.concatenate([*parts, ids[done:]])
+                    out.append(ids.astype(np.int32))
+                ends = np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*out, np.zeros(0, np.int32)])))
                 yield pa.RecordBatch.from_arrays([*b.columns[:plain], ids], [*b.schema.names[:plain], "ids"])
 
     return joined.mapInArrow(splice, widened(docs.select(*kept), "ids array<int>"))
