@@ -15,7 +15,8 @@ def follow_folder(catalogue: Catalogue, folder: str, checkpoint: str, seconds: i
 
     The stream only notices files, by name and time; a scan reads what has changed.
     """
-    stream = catalogue.spark.readStream.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "modificationTime")
+    listed = "path string, modificationTime timestamp, length long, content binary"
+    stream = catalogue.spark.readStream.format("binaryFile").schema(listed).option("recursiveFileLookup", True).load(folder).select("path", "modificationTime")
 
     def batch(files: DataFrame, _: int) -> None:
         if not files.isEmpty():
