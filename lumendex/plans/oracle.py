@@ -116,13 +116,13 @@ SQL = {
     "exact_groups": f"""WITH {_LISTED}, d AS (SELECT id, min(id) OVER (PARTITION BY sha256) AS g, count(*) OVER (PARTITION BY sha256) AS n FROM files)
       SELECT 1 AS phase, g AS "group", id, 4 AS confidence FROM d WHERE n >= 2""",
     "hash_inherit": f"""WITH {_ASSETS}, s AS (SELECT *, min(CASE WHEN hashable THEN source_id END) OVER (PARTITION BY sha256) AS since FROM assets)
-      SELECT id, CASE WHEN hashable OR since <= source_id THEN phash END AS phash, CASE WHEN hashable OR since <= source_id THEN dhash END AS dhash FROM s""",
+      SELECT id, (CASE WHEN hashable OR since <= source_id THEN phash END)::VARCHAR AS phash, (CASE WHEN hashable OR since <= source_id THEN dhash END)::VARCHAR AS dhash FROM s""",
     "leader_per_sha": f"""WITH {_LISTED} SELECT sha256, arg_min(id, path) FILTER (hashable) AS leader_id, count(*) AS copies FROM files
       GROUP BY sha256 HAVING bool_or(hashable)""",
     "exif_key_groups": f"""WITH {_LISTED} SELECT exif_date || '|' || coalesce(exif_camera_model, 'unknown') AS exif_key, count(*) AS n, min(id) AS least_id
       FROM listed WHERE exif_date IS NOT NULL GROUP BY 1 HAVING count(*) >= 2""",
-    "exif_seconds": f"WITH {_TAKEN} SELECT id, {_seconds('t')} AS seconds FROM tokens",
-    "exif_date_parts": f"""WITH {_PARTS} SELECT id, CASE WHEN ok THEN y END AS year, CASE WHEN ok THEN m END AS month, CASE WHEN ok THEN d END AS day FROM good""",
+    "exif_seconds": f"WITH {_TAKEN} SELECT id, ({_seconds('t')})::VARCHAR AS seconds FROM tokens",
+    "exif_date_parts": f"""WITH {_PARTS} SELECT id, (CASE WHEN ok THEN y END)::VARCHAR AS year, (CASE WHEN ok THEN m END)::VARCHAR AS month, (CASE WHEN ok THEN d END)::VARCHAR AS day FROM good""",
     "asset_date": f"""WITH {_PARTS} SELECT id, CASE WHEN ok THEN y ELSE year({_STAMP})::INT END AS year, CASE WHEN ok THEN m ELSE month({_STAMP})::INT END AS month,
       CASE WHEN ok THEN d ELSE day({_STAMP})::INT END AS day FROM good""",
     "exif_validated_members": f"WITH {_KEYED} SELECT k AS exif_key, id, validated, hashed FROM captured",
@@ -156,7 +156,7 @@ SQL = {
         CASE WHEN id % 3 = 0 THEN 'never' ELSE strftime(TIMESTAMP '1970-01-01 00:00:00' + to_seconds(1700000000 + id), '%Y-%m-%d %H:%M:%S') END AS last_scanned
       FROM s LEFT JOIN t ON t.source_id = s.id""",
     "files_report": f"""WITH {_STORED} SELECT id, regexp_extract(path, '[^/]+$') AS name, CASE WHEN source_id % 4 = 0 THEN '?' ELSE 'src' || (source_id - 1) END AS source, format,
-      {_human("size")} AS size, group_id, CASE WHEN is_sot THEN 'Best Copy' WHEN NOT is_sot THEN 'Duplicate' ELSE 'Unique' END AS role, coalesce(is_sot, true) AS eligible, path FROM roles""",
+      {_human("size")} AS size, group_id::VARCHAR AS group_id, CASE WHEN is_sot THEN 'Best Copy' WHEN NOT is_sot THEN 'Duplicate' ELSE 'Unique' END AS role, coalesce(is_sot, true) AS eligible, path FROM roles""",
     "group_listing": f"""WITH {_STORED} SELECT group_id, 'Certain' AS confidence, count(*) AS members, sum(size)::BIGINT AS total_size, max(path) FILTER (id = sot) AS best
       FROM members JOIN best USING (group_id) GROUP BY group_id""",
     "group_detail": f"""WITH {_STORED} SELECT group_id, 'Certain' AS confidence, photo_id, CASE WHEN id = sot THEN '*' ELSE '' END AS best, path, format, size, sha256
@@ -176,7 +176,7 @@ SQL = {
     "cascade_delete_source": f"""WITH {_STORED}, gone AS (SELECT id FROM files WHERE source_id = 1), dead AS (SELECT group_id FROM best WHERE sot IN (SELECT id FROM gone)),
       kept AS (SELECT group_id, id FROM members WHERE id NOT IN (SELECT id FROM gone) AND group_id NOT IN (SELECT group_id FROM dead))
       SELECT (SELECT count(*) FROM files) - (SELECT count(*) FROM gone) AS photos, (SELECT count(DISTINCT group_id) FROM kept) AS groups, (SELECT count(*) FROM kept) AS members""",
-    "invalidate_hashes": f"WITH {_LISTED} SELECT id, NULL::BIGINT AS phash, NULL::BIGINT AS dhash, 0::BIGINT AS mtime FROM listed",
+    "invalidate_hashes": f"WITH {_LISTED} SELECT id, NULL::VARCHAR AS phash, NULL::VARCHAR AS dhash, 0::BIGINT AS mtime FROM listed",
     "manifest_replace": f"""WITH {_LISTED}, {_PACK}, inc AS (
         SELECT sha256, regexp_extract(path, '[^/]+$') AS original_filename, format, size, row_number() OVER (PARTITION BY sha256 ORDER BY id DESC) AS rn FROM files WHERE id % 2 = 0)
       SELECT sha256, original_filename, format, size FROM inc WHERE rn = 1

@@ -15,6 +15,11 @@ from . import matching
 from .assets import assets, listed_assets, word_grid
 
 
+def _text(*names: str) -> list:
+    """Whole numbers that may be null, as text: readers differ in how they show such numbers."""
+    return [F.col(n).cast("string").alias(n) for n in names]
+
+
 def _photos(spark: SparkSession, sf: str) -> DataFrame:
     return assets(spark, sf)
 
@@ -62,7 +67,7 @@ def exact_groups(spark: SparkSession, sf: str) -> DataFrame:
 def hash_inherit(spark: SparkSession, sf: str) -> DataFrame:
     can = hashable(F.col("format"))
     own = _photos(spark, sf).withColumn("phash", F.when(can, F.col("phash"))).withColumn("dhash", F.when(can, F.col("dhash")))
-    return incremental.inherited(own.select("id", "source_id", "sha256", "phash", "dhash")).select("id", "phash", "dhash")
+    return incremental.inherited(own.select("id", "source_id", "sha256", "phash", "dhash")).select("id", *_text("phash", "dhash"))
 
 
 def leader_per_sha(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,11 +90,11 @@ def _date_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def exif_seconds(spark: SparkSession, sf: str) -> DataFrame:
-    return _date_texts(spark, sf).select("id", dates.exif_seconds(F.col("taken")).alias("seconds"))
+    return _date_texts(spark, sf).select("id", dates.exif_seconds(F.col("taken")).cast("string").alias("seconds"))
 
 
 def exif_date_parts(spark: SparkSession, sf: str) -> DataFrame:
-    return _date_texts(spark, sf).select("id", dates.exif_date(F.col("taken")).alias("d")).select("id", "d.year", "d.month", "d.day")
+    return _date_texts(spark, sf).select("id", dates.exif_date(F.col("taken")).alias("d")).select("id", "d.*").select("id", *_text("year", "month", "day"))
 
 
 def asset_date(spark: SparkSession, sf: str) -> DataFrame:
@@ -170,7 +175,7 @@ def sources_report(spark: SparkSession, sf: str) -> DataFrame:
 def files_report(spark: SparkSession, sf: str) -> DataFrame:
     photos = saved(_photos(spark, sf), "photos")
     found = reports.files_report(_sources(photos).filter("id % 4 <> 0"), photos, *_stored(photos))
-    return reports.ordered_files(found)
+    return reports.ordered_files(found).withColumn("group_id", F.col("group_id").cast("string"))
 
 
 def group_listing(spark: SparkSession, sf: str) -> DataFrame:
@@ -240,7 +245,7 @@ def cascade_delete_source(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def invalidate_hashes(spark: SparkSession, sf: str) -> DataFrame:
-    return dml.reset_mtimes(dml.clear_hashes(_photos(spark, sf))).select("id", "phash", "dhash", "mtime")
+    return dml.reset_mtimes(dml.clear_hashes(_photos(spark, sf))).select("id", *_text("phash", "dhash"), "mtime")
 
 
 def _manifest(photos: DataFrame) -> DataFrame:
