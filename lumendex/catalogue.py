@@ -64,6 +64,16 @@ class Catalogue:
         """(path, mtime) of a source's photos."""
         return self.photos().filter(F.col("source_id") == source_id).select("path", "mtime")
 
+    def photo_mtime(self, path: str) -> int | None:
+        """Stored modification time of one path, or None."""
+        row = self.photos().filter(F.col("path") == path).select("mtime").first()
+        return row["mtime"] if row else None
+
+    def known_hashes(self, contents: DataFrame) -> DataFrame:
+        """(sha256, phash, dhash) of those contents (sha256) that have hashes, each once."""
+        rows = self.photos().filter("phash IS NOT NULL").join(contents.select("sha256").distinct(), "sha256", "left_semi")
+        return rows.groupBy("sha256").agg(F.min_by(F.struct("phash", "dhash"), "id").alias("h")).select("sha256", "h.*")
+
     def get_config(self, key: str) -> str | None:
         """A setting, or None."""
         row = self.store.table("config").filter(F.col("key") == key).first()
@@ -171,6 +181,43 @@ class Catalogue:
         )
         return saved(stored, "groups"), saved(members.select((F.col("group_id") + base).alias("group_id"), "photo_id"), "members")
 
+    def upsert_photos(self, rows: DataFrame) -> None:
+        """Insert or replace photos by path, without resolving duplicates; sources must be known."""
+        rows = dml.require_known(dml.require_unique(saved(rows, "upsert"), "path"), "source_id", self.sources())
+        photos = saved(dml.upsert_photos(self.photos(), rows, self.store.mark("photos")), "upserted")
+        self.store.commit({"photos": photos.agg(F.max("id")).first()[0] or 0}, photos=photos)
+
+    def remove_photos(self, paths: DataFrame) -> int:
+        """Drop photos by path, with their memberships and the groups that this ends; returns how many."""
+        gone = saved(self.photos().join(paths.select("path").distinct(), "path", "left_semi").select("id"), "removed")
+        photos, groups, members = dml.drop_photos(self.photos(), self.groups(), self.members(), gone)
+        self.store.commit(photos=photos, groups=groups, members=members)
+        return gone.count()
+
+    def insert_group(self, photo_ids: list[int], best: int, confidence: str) -> int:
+        """Add one group of known photos; returns its id."""
+        new = self.store.mark("groups") + 1
+        row = self.spark.createDataFrame([(new, best, confidence)], schema.GROUPS)
+        rows = self.spark.createDataFrame([(new, i) for i in photo_ids], schema.MEMBERS)
+        dml.require_known(rows.unionByName(row.select(F.col("id").alias("group_id"), F.col("source_of_truth_id").alias("photo_id"))), "photo_id", self.photos())
+        dml.require_unique(rows, "group_id", "photo_id")
+        self.store.commit({"groups": new}, groups=self.groups().unionByName(row), members=self.members().unionByName(rows))
+        return new
+
+    def clear_groups(self) -> None:
+        """Drop all groups."""
+        self.store.commit(groups=self.groups().limit(0), members=self.members().limit(0))
+
+    def clear_hashes(self) -> int:
+        """Drop all perceptual hashes; returns how many photos had them."""
+        count = self.photos().filter("phash IS NOT NULL").count()
+        self.store.commit(photos=dml.clear_hashes(self.photos()))
+        return count
+
+    def reset_mtimes(self) -> None:
+        """Make the next scan read every file again."""
+        self.store.commit(photos=dml.reset_mtimes(self.photos()))
+
     def replace_photos(self, photos: DataFrame) -> None:
         """Store a photo table and resolve its duplicates; paths and ids must be unique and sources known."""
         photos = saved(photos, "replace-photos")
@@ -231,6 +278,10 @@ class Catalogue:
             f.write(f"{schema.SCHEMA_VERSION}\n")
         return store
 
+    def manifest_version(self, root: str) -> int:
+        """Version of a pack's manifest."""
+        return int(self.manifest(root).state()["schema_version"])
+
     def pack(self, progress: Progress = _silent) -> dict[str, int]:
         """Copy every content to keep into the pack, bring the manifest up to date, and delete what is no longer wanted."""
         root = self.get_pack_path()

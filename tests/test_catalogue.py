@@ -145,7 +145,7 @@ def test_pack_and_export(spark, library, tmp_path):
     (two / "alone.png").unlink()
     c.scan()
     assert c.pack() == {"copied": 0, "skipped": 2, "removed": 1}
-    assert c.manifest(str(pack)).table("files").count() == 2
+    assert c.manifest(str(pack)).table("files").count() == 2 and c.manifest_version(str(pack)) == 1
 
     def encoder(source, target, quality):
         if source.endswith("b.png"):
@@ -181,6 +181,28 @@ def test_store(spark, tmp_path):
         Store(spark, root, TABLES)
 
 
+def test_table_changes(spark, tmp_path):
+    c = Catalogue.temporary(spark)
+    c.add_source(str(tmp_path))
+    rows = spark.createDataFrame([(None, 1, f"/p/{i}", i, "JPEG", "s" if i < 3 else f"s{i}", 7 if i == 2 else None, None, 100 + i, *[None] * 7) for i in range(1, 5)], schema.PHOTOS)
+    c.upsert_photos(rows)
+    c.upsert_photos(rows.filter("size = 4").withColumn("mtime", F.lit(9).cast("long")))
+    assert [(r["id"], r["mtime"]) for r in c.photos().orderBy("id").collect()] == [(1, 101), (2, 102), (3, 103), (4, 9)]
+    assert c.photo_mtime("/p/3") == 103 and c.photo_mtime("/none") is None
+    assert [tuple(r) for r in c.known_hashes(rows).collect()] == [("s", 7, None)]
+    first, second = c.insert_group([1, 2], 1, "Certain"), c.insert_group([3, 4], 4, "High")
+    for ids in ([1, 99], [1, 1]):
+        with pytest.raises(errors.IntegrityError):
+            c.insert_group(ids, 1, "Low")
+    assert (first, second) == (1, 2) and c.clear_hashes() == 1 and c.photos().filter("phash IS NOT NULL").isEmpty()
+    assert c.remove_photos(spark.createDataFrame([("/p/4",), ("/p/4",), ("/none",)], "path string")) == 1
+    assert [r["id"] for r in c.groups().collect()] == [1] and c.members().count() == 2
+    c.reset_mtimes()
+    c.clear_groups()
+    assert c.groups().count() == c.members().count() == 0 and c.photo_mtime("/p/1") == 0
+    assert c.insert_group([1, 2], 2, "Low") == 3  # ids are not used again
+
+
 def test_integrity(spark):
     a = spark.createDataFrame([(1, "x"), (2, "x")], "id long, path string")
     with pytest.raises(errors.IntegrityError):
