@@ -72,8 +72,8 @@ def assign(docs: DataFrame, shards: int = 16, rounds: int = 4) -> DataFrame:
         if not any(r > 0 for r in room):
             break
         free = F.array(*[F.lit(s) for s, r in enumerate(room) if r > 0])
-        liked = F.element_at(F.filter("at", lambda x: F.array_contains(free, x["s"])), 1)["s"]
-        want = F.coalesce(F.try_element_at(F.transform(F.filter("at", lambda x: F.array_contains(free, x["s"])), lambda x: x["s"]), F.lit(1 + turn)), liked, _pick(room, F.col("g1")))
+        liked = F.transform(F.filter("at", lambda x: F.array_contains(free, x["s"])), lambda x: x["s"])  # shards with room, most members first
+        want = F.coalesce(F.try_element_at(liked, F.lit(1 + turn)), F.try_element_at(liked, F.lit(1)), _pick(room, F.col("g1")))
         asked = waiting.withColumn("label", want).withColumn("b", _bucket(*_G))
         base = _totals(asked, ["label"], "b", F.col("n"))
         within = F.sum("n").over(Window.partitionBy("label", "b").orderBy(*_G))
