@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -99,3 +101,27 @@ def dense_ids(df: DataFrame, order: list[str], name: str, start: int = 1) -> Dat
     base = F.map_from_arrays(F.array(*[F.lit(p) for p in offsets]), F.array(*[F.lit(n).cast("long") for n in offsets.values()]))
     place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
     return ranges.withColumn(name, F.element_at(base, F.col("_range")) + place).drop("_range")
+
+
+def release() -> None:
+    """Give memory that a Python worker has freed back to the system: workers outlive their tasks, and share an executor."""
+    with contextlib.suppress(Exception):
+        import pyarrow
+
+        pyarrow.default_memory_pool().release_unused()
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def lean(run):
+    """`run`, a function from batches to batches, that releases memory every now and then and at its end."""
+
+    def work(batches):
+        try:
+            for n, out in enumerate(run(batches)):
+                yield out
+                if n % 16 == 15:
+                    release()
+        finally:
+            release()
+
+    return work
