@@ -44,7 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the text they decode to."""
     vocabulary = word_vocabulary()
-    ids = bpe.encode(docs, vocabulary, keep_text=False)
+    ids = saved(bpe.encode(docs, vocabulary, keep_text=False), "pipeline-ids")  # else both steps' workers run side by side
     return bpe.decode(ids, vocabulary).withColumn("n_tokens", F.size("ids").cast("long"))
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from ..runtime import saved, ship, widened
+from ..runtime import lean, saved, ship, widened
 
 #: Words that are broadcast at most: some 25 bytes each, in the driver and in every worker.
 HEAD = 4_000_000
@@ -111,7 +111,7 @@ def distinct_words(docs: DataFrame) -> DataFrame:
         yield from rows()
 
     ship(docs.sparkSession)
-    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(lean(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def word_table(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -131,7 +131,7 @@ def word_table(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 ids = [np.array(x.ids, dtype).tobytes() for x in found]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.binary())], ["word", "n", "ids"])
 
-    return saved(distinct_words(docs).mapInArrow(run, "word string, n long, ids binary"), "words")
+    return saved(distinct_words(docs).mapInArrow(lean(run), "word string, n long, ids binary"), "words")
 
 
 def _head(words: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
@@ -242,7 +242,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, head: int = HEAD, keep_text:
                 yield pa.RecordBatch.from_arrays(out, names)
 
     gaps_ddl = "" if rare is None else ", _words_at array<int>, _ids_at array<int>"
-    laid = main.mapInArrow(place, widened(main.drop("_read"), f"ids array<int>{gaps_ddl}"))
+    laid = main.mapInArrow(lean(place), widened(main.drop("_read"), f"ids array<int>{gaps_ddl}"))
     if rare is None:
         return laid
 
@@ -262,7 +262,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, head: int = HEAD, keep_text:
 
     tail = (
         keyed.select("doc_id", "_h", "text")
-        .mapInArrow(gaps, f"doc_id {dict(docs.dtypes)['doc_id']}, _h long, at int, word string")
+        .mapInArrow(lean(gaps), f"doc_id {dict(docs.dtypes)['doc_id']}, _h long, at int, word string")
         .join(rare.select("word", F.col("ids").alias("found")), "word")
         .groupBy("doc_id", "_h").agg(F.collect_set(F.struct("at", "found")).alias("_tail"))
     )
@@ -288,7 +288,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, head: int = HEAD, keep_text:
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*out, np.zeros(0, np.int32)])))
                 yield pa.RecordBatch.from_arrays([*b.columns[:plain], ids], [*b.schema.names[:plain], "ids"])
 
-    return joined.mapInArrow(splice, widened(docs.select(*kept), "ids array<int>"))
+    return joined.mapInArrow(lean(splice), widened(docs.select(*kept), "ids array<int>"))
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, column: str = "ids") -> DataFrame:
@@ -319,4 +319,4 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, column: str = "ids") -> D
                 joined = pc.if_else(lists.is_valid(), joined, None)
                 yield pa.RecordBatch.from_arrays([*b.columns, joined], [*b.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, widened(encoded, "decoded string"))
+    return encoded.mapInArrow(lean(run), widened(encoded, "decoded string"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import ship
+from ..runtime import lean, ship
 from .kernels import CHUNK, U, Words, mix
 
 #: A long paragraph is cut after one in so many words.
@@ -251,4 +251,4 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                     waiting.append((d, text))
                     size += len(text)
 
-    return both.mapInArrow(run, _SCHEMA)
+    return both.mapInArrow(lean(run), _SCHEMA)

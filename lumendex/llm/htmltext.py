@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..runtime import ship, widened
+from ..runtime import lean, ship, widened
 
 # Element and attribute names of the HTML standard and names in common use.
 DROPPED = frozenset(
@@ -256,4 +256,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                     [*b.columns, pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*b.schema.names, "text", "n_chars"]
                 )
 
-    return pages.mapInArrow(run, widened(pages, "text string, n_chars long"))
+    return pages.mapInArrow(lean(run), widened(pages, "text string, n_chars long"))

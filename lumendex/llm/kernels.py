@@ -16,7 +16,7 @@ import pyarrow as pa
 U = np.uint64
 np.seterr(over="ignore")  # hashes wrap
 #: Bytes of text that one numpy pass handles (a longer single text is one pass of its own).
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 3
 _STEP = U(0xC2B2AE3D27D4EB4F)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import saved, ship, widened
+from ..runtime import lean, saved, ship, widened
 from .kernels import U, mix
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -32,7 +32,7 @@ _NGRAMS = (2, 3, 4)
 #: Word windows taken from each training text.
 WINDOWS = (3, 8, 20, 60)
 #: Distinct words a worker keeps the logits of.
-CACHE = 200_000
+CACHE = 100_000
 
 
 @dataclass
@@ -206,7 +206,7 @@ def train(docs: DataFrame, params: Params | None = None) -> Model:
                     pieces.append(" ".join(p))
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(keys, pa.int64()), pa.array(pieces, pa.string())], ["lang", "key", "piece"])
 
-    got = cols.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").mapInArrow(cut, "lang string, key long, piece string").toArrow()
+    got = cols.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").mapInArrow(lean(cut), "lang string, key long, piece string").toArrow()
     rows = sorted(zip(got["key"].to_pylist(), got["lang"].to_pylist(), got["piece"].to_pylist(), strict=True))
     rows = [r for r in rows if r[2]]
     return fit([r[2].split(" ") for r in rows], [r[1] for r in rows], np.array([r[0] // 5 % 8 == 0 for r in rows], dtype=bool), params)
@@ -277,4 +277,4 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     [*b.schema.names, "lang_pred", "lang_score", "rejected"],
                 )
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)

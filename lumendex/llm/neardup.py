@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import broadcast_if_small, saved, ship
+from ..runtime import broadcast_if_small, lean, saved, ship
 from .kernels import U, Words, bands, buffers, chunks, mix, one_permutation, shingles
 
 _SET = ["s1", "s2", "n"]
@@ -81,7 +81,7 @@ def signatures(docs: DataFrame, params: Params) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), pa.array(s1), pa.array(s2), pa.array(size), lists], ["doc_id", *_SET, "bands"])
                 at += n
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, s1 long, s2 long, n long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, s1 long, s2 long, n long, bands array<long>")
 
 
 def _fits(a: Column, b: Column, percent: int) -> Column:
@@ -174,7 +174,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, params: Params) -> DataFrame:
 
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(lean(run), "a long, b long")
 
 
 def _rest(members: DataFrame, labels: DataFrame, texts: DataFrame, params: Params) -> DataFrame:
@@ -252,6 +252,7 @@ def deduplicate(docs: DataFrame, params: Params | None = None) -> DataFrame:
     found = saved(near_duplicates(docs.select("doc_id", "text"), params), "dup-result")
     gone = found.filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
     twice = saved(found.filter("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_twice")).count().filter("count > 1").select("_twice"), "dup-twice")
+    gone = broadcast_if_small(saved(gone, "dup-gone"), 1_000_000)
     rest = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
     if not twice.limit(1).count():
         return rest

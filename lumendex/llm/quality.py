@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import saved, ship, widened
+from ..runtime import lean, saved, ship, widened
 from .kernels import SPACE, Words, buffers, chunks
 from .langid import held_out
 
@@ -222,7 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, params: Params | None = None) -> M
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), flat], ["doc_id", "quality", "x"])
 
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
-    got = joined.mapInArrow(run, "doc_id long, quality int, x array<double>").toArrow()
+    got = joined.mapInArrow(lean(run), "doc_id long, quality int, x array<double>").toArrow()
     if not got.num_rows:
         return fit(np.zeros((0, width)), np.zeros(0), params)
     got = got.combine_chunks().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
@@ -248,4 +248,4 @@ def classify(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame
                 [*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*b.schema.names, "score", "predicted"]
             )
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)

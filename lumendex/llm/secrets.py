@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import ship, widened
+from ..runtime import lean, ship, widened
 
 # The base patterns, in the order of kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -249,7 +249,7 @@ def train(docs: DataFrame, params: Params | None = None) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["key", "around", "start", "size", "label"])
 
     schema = "key string, around string, start int, size int, label int"
-    found = docs.select("text").mapInArrow(run, schema).filter(F.col("size") <= 4096)  # longer ones cannot all be sent to the driver
+    found = docs.select("text").mapInArrow(lean(run), schema).filter(F.col("size") <= 4096)  # longer ones cannot all be sent to the driver
     rank = found.dropDuplicates(["key"])
     rows = [tuple(r) for r in rank.orderBy("key").limit(params.rows).select("around", "start", "size", "label").collect()]
     labelled = [(t, s, s + n, y) for t, s, n, y in rows] + generated(params.generated, params.seed)
@@ -311,4 +311,4 @@ def scan(docs: DataFrame, model: Model | None) -> DataFrame:
                     [*b.columns, pa.array(cells, pa.list_(span)), pa.array(clean, pa.string())], [*b.schema.names, "spans", "redacted"]
                 )
 
-    return docs.mapInArrow(run, widened(docs, "spans array<struct<kind:string,start:int,end:int>>, redacted string"))
+    return docs.mapInArrow(lean(run), widened(docs, "spans array<struct<kind:string,start:int,end:int>>, redacted string"))
