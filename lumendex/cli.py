@@ -5,11 +5,15 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+from typing import TYPE_CHECKING
 
 from .catalogue import Catalogue
 from .errors import LumendexError
 from .functions.paths import human_size
 
+if TYPE_CHECKING:
+    from pyspark.sql import Column, DataFrame
+
 
 def default_catalogue() -> str:
     """Where the catalogue lies unless said otherwise."""
@@ -35,6 +39,30 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def table(df: DataFrame) -> None:
+    """Print every row of `df` as a table, one partition at a time in the driver."""
+    from pyspark.sql import functions as F
+
+    def cell(name: str) -> Column:
+        text = F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("NULL"))
+        for raw, shown in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+            text = F.replace(text, F.lit(raw), F.lit(shown))
+        return text.alias(name)
+
+    names = df.columns
+    texts = df.select(*map(cell, names))
+    most = texts.agg(*[F.max(F.length(f"`{n}`")).alias(n) for n in names]).first()
+    widths = [max(len(n), w or 0) for n, w in zip(names, most, strict=True)]
+    rule = "+" + "+".join("-" * w for w in widths) + "+"
+    line = lambda row: print("|" + "|".join(v.ljust(w) for v, w in zip(row, widths, strict=True)) + "|")
+    print(rule)
+    line(names)
+    print(rule)
+    for row in texts.toLocalIterator():
+        line(row)
+    print(rule)
+
+
 def run(catalogue: Catalogue, args: argparse.Namespace) -> None:
     """Carry out one command."""
     say = lambda event, data: print(f"  {event}: " + ", ".join(f"{k} {v}" for k, v in data.items()))
@@ -51,10 +79,10 @@ def run(catalogue: Catalogue, args: argparse.Namespace) -> None:
         for name in ("photos", "unique", "groups", "duplicates", "disk", "savings"):
             print(f"  {name:12} {total[name]}")
         print(f"  {'pack':12} {catalogue.get_pack_path() or 'not configured'}")
-        catalogue.sources_report().orderBy("id").show(1000, truncate=False)
+        table(catalogue.sources_report().orderBy("id"))
     elif args.command == "ls":
         shown = catalogue.files() if not args.dupes else catalogue.group_list() if args.id is None else catalogue.group(args.id)
-        shown.show(1000, truncate=False)
+        table(shown)
     elif args.command == "pack":
         if args.path:
             catalogue.set_pack_path(args.path)

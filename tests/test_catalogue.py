@@ -232,3 +232,28 @@ def test_command_line(spark, library, tmp_path, capsys):
     assert "added source 1" in out and "photos       2" in out and "a.jpg" in out
     assert cli.main([*base, "ls", "--dupes", "77"]) == 1 and "GroupNotFound" in capsys.readouterr().err
     assert cli.main([*base, "rm", str(one)]) == 0 and "removed 2 photos" in capsys.readouterr().out
+
+
+def test_command_line_lists_every_row(spark, capsys):
+    class Many:
+        def files(self):
+            return spark.range(1500).select("id", F.when(F.col("id") != 3, F.concat(F.lit("a\n"), F.col("id"))).alias("name")).orderBy("id")
+
+        group_list = files
+
+        def group(self, _):
+            return self.files()
+
+        def sources_report(self):
+            return self.files().orderBy(F.desc("id"))
+
+        def status(self):
+            return spark.sql("SELECT 1 photos, 1 unique, 0 groups, 0 duplicates, 5L disk_bytes, 0L savings_bytes")
+
+        def get_pack_path(self):
+            return None
+
+    for args in (["ls"], ["ls", "--dupes"], ["ls", "--dupes", "1"], ["status"]):
+        cli.run(Many(), cli.parser().parse_args(args))
+        rows = [[v.strip() for v in x.split("|")[1:-1]] for x in capsys.readouterr().out.splitlines() if x.startswith("|")]
+        assert rows == [["id", "name"]] + [[str(i), f"a\\n{i}" if i != 3 else "NULL"] for i in range(1500)]
