@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lumendex.llm import langid, quality, queries, secrets
 
@@ -67,6 +68,12 @@ def test_language(spark, docs):
     assert sum(r["rejected"] for r in out) <= 5
 
 
+def test_language_sample_is_not_cut(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") % 2 == 0, "de").otherwise("en").alias("lang"))
+    taken = {r["lang"]: r["count"] for r in langid.sample(rows, langid.Params()).groupBy("lang").count().collect()}
+    assert taken == {"de": 2000, "en": 2000}
+
+
 def test_language_edges(spark, docs):
     df = spark.createDataFrame([(*r[:2], "x") for r in ODD], "doc_id long, text string, rejected string")
     model = langid.train(docs.limit(200), langid.Params(least_steps=100))
