@@ -4,9 +4,13 @@ Elements that never hold an article's text (navigation, forms, scripts, adverts,
 comments of readers and the like, by tag, role or class) are dropped first.  Every
 paragraph of the rest passes points for its length and commas to its ancestors,
 less to more distant ones; a container's points are discounted by the share of its
-text that lies in links.  The best container is kept, with those siblings that
-score well against it or are long paragraphs with few links.  Its blocks, in page
-order, are the text.
+text that lies in links.  The best container is kept.  If it lies inside an article
+or main element, so does all the rest of that element but siblings that are mostly
+links; otherwise those siblings stay that score well against it or are long
+paragraphs with few links.  The blocks, in page order, are the text.
+
+A class or id that names, say, a sidebar does not drop an element that holds the
+page's article, most of its paragraphs, or is named as content too (`_spare`).
 
 The parser is a forgiving tokeniser of its own: unclosed and stray tags, raw-text
 elements and character references are handled in one linear pass.
@@ -34,6 +38,7 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup "
     "time tt u var".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An opening tag on the left closes an open element on the right, up to one of the named barriers.
 CLOSES_P = frozenset(
     "address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu "
@@ -47,6 +52,10 @@ UNLIKELY = re.compile(
     re.I,
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
+#: Names of what is no part of an article whatever word is joined to them.
+FIRM = re.compile(
+    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|comments?|commentlist|respond|replies|disqus|cookies?|consent|gdpr)(?:$|[\s_-])", re.I
+)
 GOOD = re.compile(r"(?:^|[\s_-])(?:article|content|main|body|entry|post|story|text|hentry)(?:$|[\s_-])", re.I)
 BASE = {"article": 25.0, "main": 15.0, "section": 3.0, "div": 3.0, "td": 2.0, "blockquote": 2.0, "pre": 2.0, "ul": -3.0, "ol": -3.0, "dl": -3.0}
 
@@ -62,30 +71,36 @@ _NO_CONTAINER = INLINE | frozenset("root html p li dt dd pre hr tr h1 h2 h3 h4 h
 
 
 class Node:
-    """An element: `parts` holds its texts and child elements in order."""
+    """An element: `parts` holds its texts and child elements in order; `soft` is why its name alone drops it, if so."""
 
-    __slots__ = ("tag", "parts", "parent", "drop", "score", "text", "link", "depth")
+    __slots__ = ("tag", "parts", "parent", "drop", "score", "soft", "text", "link", "depth")
 
-    def __init__(self, tag: str, parent: "Node | None", drop: bool = False, score: float = 0.0):
-        self.tag, self.parent, self.drop, self.score = tag, parent, drop, score
+    def __init__(self, tag: str, parent: "Node | None", drop: bool = False, score: float = 0.0, soft: str = ""):
+        self.tag, self.parent, self.drop, self.score, self.soft = tag, parent, drop, score, soft
         self.parts: list = []
         self.text = self.link = 0
         self.depth = parent.depth + 1 if parent is not None else 0
 
 
-def _unlikely(tag: str, attrs: str) -> tuple[bool, float]:
-    """Whether an element is dropped for its tag or attributes, and its first points."""
-    drop, score = tag in DROPPED, BASE.get(tag, 0.0)
+def _unlikely(tag: str, attrs: str) -> tuple[bool, float, str]:
+    """Whether an element is dropped for its tag or attributes, its first points, and, if only class or id drop it, "firm", "good" (named as content too) or "soft"."""
+    drop, score, soft = tag in DROPPED, BASE.get(tag, 0.0), ""
     if not drop and attrs and tag not in ("article", "main", "body", "html"):
+        hard = named = firm = good = False
         for name, *values in _ATTR.findall(attrs):
             name, value = name.lower(), next(filter(None, values), "")
             if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in ROLES:
-                drop = True
-            elif name in ("class", "id") and UNLIKELY.search(value):
-                drop = True
-            elif name in ("class", "id") and GOOD.search(value):
-                score += 5.0
-    return drop, score
+                hard = True
+            elif name in ("class", "id"):
+                named |= bool(UNLIKELY.search(value))
+                firm |= bool(FIRM.search(value))
+                if any(GOOD.search(x) and not FIRM.search(x) for x in value.split()):
+                    good = True
+                    score += 5.0
+        drop = hard or named
+        if named and not hard:
+            soft = "good" if good else "firm" if firm else "soft"
+    return drop, score, soft
 
 
 def parse(page: str) -> Node:
@@ -136,8 +151,7 @@ def parse(page: str) -> Node:
                 up = up.parent
         if node.depth >= _DEPTH:
             node = node.parent
-        drop, score = _unlikely(tag, m[3])
-        child = Node(tag, node, drop, score)
+        child = Node(tag, node, *_unlikely(tag, m[3]))
         node.parts.append(child)
         if m[3].endswith("/") and tag in ("svg", "math"):
             continue
@@ -181,6 +195,51 @@ def blocks(node: Node, links: bool = False) -> Iterator[tuple[Node, str, int]]:
             stack.pop()
 
 
+def _spare(root: Node) -> None:
+    """Take back the drop, by name only, of elements that hold the page's article.
+
+    These are those that hold every article and main of the page, those with more than
+    half of the text of its paragraphs (unless the name is firm), and those that are
+    named as content too and are not mostly links.
+    """
+    soft, hosts, stack = [], [], [root]
+    while stack:
+        x = stack.pop()
+        if x.soft:
+            x.drop = False
+            soft.append(x)
+        elif x.drop:
+            continue
+        if x.tag in ("article", "main"):
+            hosts.append(x)
+        stack.extend(part for part in x.parts if not isinstance(part, str))
+    if not soft:
+        return
+    sums: dict[int, list[int]] = {}
+    inside: dict[int, int] = {}
+    for owner, text, linked in blocks(root):
+        plain = len(text) - linked if owner.tag in _PARAGRAPHS and len(text) >= 25 else 0
+        up: Node | None = owner
+        while up is not None:
+            got = sums.setdefault(id(up), [0, 0, 0])
+            got[0], got[1], got[2] = got[0] + plain, got[1] + len(text), got[2] + linked
+            up = up.parent
+    for x in hosts:
+        while (x := x.parent) is not None:
+            inside[id(x)] = inside.get(id(x), 0) + 1
+    whole = sums.get(id(root), [0])[0]
+    for x in soft:
+        plain, chars, linked = sums.get(id(x), (0, 0, 0))
+        above, up = [], x.parent
+        while up is not None:
+            above.append(up.tag)
+            up = up.parent
+        held = inside.get(id(x), 0)
+        holds = held > 0 and "article" not in above and held + above.count("main") == len(hosts)
+        most = x.soft != "firm" and 2 * plain > whole
+        x.drop = not (holds or most or x.soft == "good" and 2 * linked <= chars)
+
+
 def _rate(root: Node) -> Node:
     """Pass points up the tree; the best container, or the root where no paragraph gives points."""
     seen: dict[int, Node] = {}
@@ -217,7 +276,19 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    _spare(root)
     best = _rate(root)
+    host = best
+    while host is not None and host.tag not in ("article", "main"):
+        host = host.parent
+    if host is not None and host is not best:
+        x = best
+        while x is not host:
+            for part in x.parent.parts:
+                if isinstance(part, Node) and part is not x and part.tag not in INLINE and part.tag not in HEADINGS:
+                    part.drop |= 2 * part.link > part.text
+            x = x.parent
+        return " ".join(text for _, text, _ in blocks(host))
     up = best.parent
     if up is None or best.tag == "body":
         kept = [best]
@@ -228,7 +299,9 @@ def extract(page: str | None) -> str:
                 kept.append(part)
             elif isinstance(part, Node) and not part.drop and part.text:
                 dense = part.link / part.text
-                if part.tag == "p":
+                if part.tag in HEADINGS and host is not None and dense < 0.25:
+                    good = up.tag == "main"
+                elif part.tag == "p":
                     good = part.text > 80 and dense < 0.25
                 else:
                     good = part.score * (1 - dense) >= limit

@@ -81,6 +81,27 @@ def test_main_text(page, want):
     assert htmltext.extract(page) == want
 
 
+LONG = "".join(f"<p>Paragraph {i}, long enough to score, with a comma or two, and some more words after it, all of which are plain text.</p>" for i in range(12))
+TOLD = " ".join(f"Paragraph {i}, long enough to score, with a comma or two, and some more words after it, all of which are plain text." for i in range(12))
+COMMENTS = f"<div class=comments><article class=comment>{LONG.replace('Paragraph', 'Reader')}</article></div>"
+WHOLE = [
+    (f"<article><h1>Title</h1>lead <b>in</b><section>{LONG}</section><section><h2>End</h2><p>Short close.</p></section><p>By me.</p><ul><li>a<li>b</ul><table><tr><td>1</table>"
+     "<ul><li><a href=1>elsewhere</a></ul></article>", f"Title lead in {TOLD} End Short close. By me. a b 1"),
+    (f"<main><h1>T</h1><div><div>{LONG}</div><p>s</p></div></main><p>out</p>", f"T {TOLD} s"),
+    (f"<main><h1>T</h1><article>{LONG}</article>{COMMENTS}</main>", f"T {TOLD}"),
+    (f"<div class='layout with-sidebar'><article>{LONG}</article></div>", TOLD),
+    (f"<div class='page no-header'>{LONG}</div><div class=sidebar><p>Some other things, which are not part of it.</p></div>", TOLD),
+    (f"<article><div class='entry-header'><h1>T</h1></div>{LONG}<div class=share>Share this</div></article>", f"T {TOLD}"),
+    (f"<article><p>Kept, as the article goes on, here.</p>{COMMENTS}</article>", "Kept, as the article goes on, here."),
+    (f"<div><p>Kept, as the text goes on, right here.</p></div><div class='comment-content'>{LONG}</div>", "Kept, as the text goes on, right here."),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), WHOLE)
+def test_whole_article(page, want):
+    assert htmltext.extract(page) == want
+
+
 def test_pages(spark):
     import html
     import re
