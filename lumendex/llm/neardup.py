@@ -141,6 +141,8 @@ def forest(ids: np.ndarray, label: np.ndarray, side: np.ndarray, sets: list[np.n
 
     left = np.flatnonzero(side == 0)
     right = np.flatnonzero(side == 1) if (side == 1).any() else left
+    if not len(left):
+        return []
     size = np.array([len(s) for s in sets], np.int64)
     flat = [np.concatenate([sets[i] for i in part]) for part in (left, right)]
     ends = [np.concatenate(([0], np.cumsum(size[part]))) for part in (left, right)]
@@ -192,6 +194,8 @@ def _rest(members: DataFrame, labels: DataFrame, texts: DataFrame, params: Param
     )
 
     def run(table: pa.Table) -> pa.Table:
+        if table["lo"][0].as_py() < table["hi"][0].as_py() and len(set(table["side"].to_pylist())) < 2:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})  # one block got no member; the other is compared with itself elsewhere
         sets = [h[o[i] : o[i + 1]] for h, o in _sets(table["text"].combine_chunks(), k) for i in range(len(o) - 1)]
         found = forest(table["id"].to_numpy(), table["label"].to_numpy(), table["side"].to_numpy(), sets, percent)
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})

@@ -105,3 +105,15 @@ def test_words_and_shingles():
     h, o = kernels.shingles(w, 5)
     assert np.diff(o).tolist() == [len(shingle_set(t)) for t in texts]
     assert [c for c in kernels.chunks(offs, 4)][-1][1] == len(texts)
+
+
+def test_blocks_without_members(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    texts = spark.createDataFrame([(1, text), (2, text + " more"), (3, text + " other")], "id long, text string")
+    labels = spark.createDataFrame([], "id long, label long")
+    members = [(b, i, 56) for b in range(30) for i in range(1, 3 + b % 2)]
+    rest = neardup._rest(spark.createDataFrame(members, "bucket long, id long, n long"), labels, texts, neardup.Params(block=40))
+    assert {tuple(sorted(r)) for r in rest.collect()} >= {(1, 2)}
+    ids = np.arange(2)
+    sets = [np.arange(50, dtype=np.uint64)] * 2
+    assert neardup.forest(ids, ids, np.ones(2, int), sets, 75) == []
