@@ -63,14 +63,19 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Write `df` once as a Parquet table in the shared scratch folder and read it back.
 
     It cuts the lineage and survives lost executors, as the table lies outside them.
+    With `by`, rows lie in a folder for each value of those columns (which come last).
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    if by:
+        df = df.select(*[c for c in df.columns if c not in by], *by)
+        df.write.partitionBy(*by).parquet(path)
+    else:
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
