@@ -84,6 +84,17 @@ def widened(df: DataFrame, ddl: str) -> StructType:
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Each name, made longer until no column (whatever its case) is called so: for columns that an operator adds for itself."""
+    taken, found = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def broadcast_if_small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
     """`df` marked for broadcasting if it is counted to have few rows; otherwise as it is, for a shuffle join."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
