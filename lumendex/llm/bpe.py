@@ -1,10 +1,12 @@
 """Byte-pair encoding and decoding of a corpus through a table of its distinct words.
 
-Texts are split into words in Spark, words are counted, and each distinct word is
-encoded once by the tokenizers library.  Ids come back by position: the most frequent words, a table of bounded size, are broadcast and looked up in
-place; the rest are joined on the word, and back on the document.  A word that is
-too rare for the broadcast is by that rare, so the join on words has no hot key.
-Decoding joins ids to pieces of the vocabulary, also a table of bounded size.
+Texts are split into words in Spark.  The most frequent words, HEAD at most, are
+encoded once and broadcast, as any join on them would have hot keys; every text's
+ids are laid out with gaps where other words stand.  These others go by word to
+the table of distinct words, sorted there, so that each is encoded once by the
+tokenizers library, and their ids come back by document and position into the
+gaps.  What the driver and the workers hold does not grow with the corpus.
+Decoding joins ids to pieces of the vocabulary, a table of fixed size, by place.
 
 The split follows the vocabulary's own rules, so that encoding the words one by
 one gives what encoding the text gives.  Where a text has characters beyond
@@ -26,14 +28,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
-from ..runtime import lean, saved, ship, widened
+from ..runtime import lean, ship, unused, widened
 
-#: Words that are broadcast at most: some 25 bytes each, in the driver and in every worker.
-HEAD = 4_000_000
-#: Distinct words a task counts before it passes them on.
-COUNTED = 300_000
+#: Frequent words that are broadcast, at most: some 25 bytes each.
+HEAD = 200_000
+#: Distinct words a task counts before it passes them on, and how often it must have met one to call it frequent.
+COUNTED, OFTEN = 300_000, 4
 
 # The vocabulary's rules for splitting, and its special tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -91,106 +92,59 @@ def _once(key: object, make):
     return _ready[key]
 
 
-def distinct_words(docs: DataFrame) -> DataFrame:
-    """word, n: every distinct word of `text` and how often it occurs."""
+def frequent_words(docs: DataFrame, most: int) -> list[str]:
+    """The words of `text` that tasks meet often, by how often, `most` at most; every text is read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
 
-        def rows() -> Iterator[pa.RecordBatch]:
-            names, counts = list(seen), list(seen.values())
+        def rows(least: int) -> Iterator[pa.RecordBatch]:
+            found = [(w, n) for w, n in seen.items() if n >= least]
             seen.clear()
-            for a in range(0, len(names), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(names[a : a + 50_000], pa.string()), pa.array(counts[a : a + 50_000], pa.int64())], ["word", "n"])
+            for a in range(0, len(found), 50_000):
+                words, counts = zip(*found[a : a + 50_000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(counts, pa.int64())], ["word", "n"])
 
         for b in batches:
             for text in b.column(0).to_pylist():
                 seen.update(words_of(text))
                 if len(seen) > COUNTED:
-                    yield from rows()
-        yield from rows()
+                    yield from rows(OFTEN)
+        yield from rows(OFTEN)
 
     ship(docs.sparkSession)
-    return docs.select("text").mapInArrow(lean(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(lean(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [r["word"] for r in counted.orderBy(F.col("n").desc(), "word").limit(most).select("word").collect()]
 
 
-def word_table(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """word, n, ids (little-endian integers): each distinct word encoded once; a written table."""
-    source, dtype = docs.sparkSession.sparkContext.broadcast(vocabulary.json), vocabulary.dtype
-    name = uuid.uuid4().hex
+def encoded_words(tok, words: list[str], dtype: str) -> list[bytes]:
+    """The ids of each word, as little-endian integers."""
+    return [np.array(x.ids, dtype).tobytes() for x in tok.encode_batch_fast(words, add_special_tokens=False)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        tok = _once(name, lambda: Tokenizer.from_str(source.value))
-        for whole in batches:
-            for a in range(0, whole.num_rows, 2000):
-                b = whole.slice(a, 2000)
-                found = tok.encode_batch_fast(b.column(0).to_pylist(), add_special_tokens=False)
-                ids = [np.array(x.ids, dtype).tobytes() for x in found]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.binary())], ["word", "n", "ids"])
 
-    return saved(distinct_words(docs).mapInArrow(lean(run), "word string, n long, ids binary"), "words")
+def _tokenizer(source: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    from tokenizers import Tokenizer
 
-
-def _head(words: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
-    """The most frequent words, `most` at most, and all others (None if there are none): cut between classes of frequency."""
-    level = F.floor(F.log2("n") * 16)
-    classes = sorted((tuple(r) for r in words.groupBy(level.alias("c")).count().collect()), reverse=True)  # some hundreds
-    cut, total = 1 << 30, 0
-    for c, n in classes:
-        if total + n > most:
-            return words.filter(level >= cut), words.filter(level < cut)
-        cut, total = c, total + n
-    return words, None
+    return Tokenizer.from_str(source)
 
 
 class Lookup:
-    """A bounded table of words as flat arrays: hashes in order, and where each word's ids lie in one array.
-
-    It is made on the driver and broadcast as it is, so that workers build nothing.
-    Words of equal hash, should there be any, are told apart by themselves.
-    """
+    """A bounded table of words as flat arrays, which are broadcast as they are; words are compared themselves, not hashes of them."""
 
-    def __init__(self, hashes: np.ndarray, ids: pa.BinaryArray, dtype: str, clash: dict[str, bytes] | None = None):
-        width = np.dtype(dtype).itemsize
-        n = pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64) // width
-        order = np.argsort(hashes, kind="stable")
-        self.hash = hashes[order]
-        self.first = (np.cumsum(n) - n)[order].astype(np.uint32)
-        self.size = n[order].astype(np.int32)
-        self.ids = np.frombuffer(b"".join(ids.to_pylist()), dtype)
-        self.clash: dict[str, tuple[int, int]] = {}
-        for word, own in (clash or {}).items():
-            self.clash[word] = len(self.ids), len(own) // width
-            self.ids = np.concatenate([self.ids, np.frombuffer(own, dtype)])
-
-    @classmethod
-    def of(cls, head: DataFrame, dtype: str) -> Lookup:
-        """The table of words (word, ids)."""
-        table = head.select(F.xxhash64("word").alias("h"), "ids").toArrow().combine_chunks()
-        h = table["h"].to_numpy() if table.num_rows else np.zeros(0, np.int64)
-        ids = table["ids"].combine_chunks() if table.num_rows else pa.array([], pa.binary())
-        once, count = np.unique(h, return_counts=True)
-        twice = once[count > 1].tolist()
-        clash = {r["word"]: bytes(r["ids"]) for r in head.filter(F.xxhash64("word").isin(twice)).collect()} if twice else {}
-        return cls(h, ids if isinstance(ids, pa.Array) else ids.chunk(0), dtype, clash)
+    def __init__(self, words: list[str], ids: list[bytes], dtype: str):
+        self.words = pa.array(words, pa.string())
+        self.size = np.array([len(x) for x in ids], np.int64) // np.dtype(dtype).itemsize
+        self.first = np.cumsum(self.size) - self.size
+        self.ids = np.frombuffer(b"".join(ids), dtype)
 
     def find(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Whether each word is known, and its first id and number of ids."""
         none = np.zeros(len(words), np.int64)
-        if not len(self.hash) or not words:
+        if not len(self.words) or not words:
             return none.astype(bool), none, none
-        h = np.fromiter((xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42) for w in words), np.uint64, len(words)).view(np.int64)
-        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
-        known = self.hash[at] == h
-        first, size = self.first[at].astype(np.int64), np.where(known, self.size[at], 0).astype(np.int64)
-        if self.clash:
-            for i, w in enumerate(words):
-                if w in self.clash:
-                    first[i], size[i] = self.clash[w]
-        return known, first, size
+        at = pc.fill_null(pc.index_in(pa.array(words, pa.string()), value_set=self.words), -1).to_numpy()
+        return at >= 0, self.first[at], np.where(at >= 0, self.size[at], 0)
 
     def gather(self, first: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The ids of words, one after the other."""
@@ -199,26 +153,41 @@ class Lookup:
         return self.ids[np.repeat(first - (n - size), size) + np.arange(total)]
 
 
+def _split(batch: pa.RecordBatch, column: int, look: Lookup) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets of the texts' words, the words, whether each is frequent, and its first id and number of ids."""
+    lists = [words_of(t) for t in batch.column(column).to_pylist()]
+    ends = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int64)
+    words = [w for x in lists for w in x]
+    return ends, words, *look.find(words)
+
+
+def _slices(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes of values[ends[i]:ends[i + 1]], for every i."""
+    raw = np.ascontiguousarray(values)
+    offsets = pa.py_buffer((ends * raw.itemsize).astype(np.int64).tobytes())
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, offsets, pa.py_buffer(raw.tobytes())]).cast(pa.binary())
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, head: int = HEAD, keep_text: bool = True) -> DataFrame:
     """`docs` with ids (array of int), as the tokenizers library encodes `text` without added special tokens.
 
-    doc_id and text are read; other columns pass through, and a column named ids
-    is replaced; without keep_text the text is left out, and so not shuffled.  A
-    null or empty text has no ids.  Rows may repeat, in doc_id or as a whole; each
-    gets its ids.
+    doc_id and text are read; other columns pass through whatever their names, but
+    a column named ids is replaced; without keep_text the text is left out, and so
+    not shuffled.  A null or empty text has no ids.  Rows may repeat, in doc_id or
+    as a whole; each gets its ids; null ids are an id like others.  A very long text
+    is one row all the way.  An empty table gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)
     docs = docs.drop("ids")
     dtype = vocabulary.dtype
-    frequent, rare = _head(word_table(docs, vocabulary), head)
-    known = spark.sparkContext.broadcast(Lookup.of(frequent, dtype))
+    common = frequent_words(docs, head)
+    known = spark.sparkContext.broadcast(Lookup(common, encoded_words(_tokenizer(vocabulary.json), common, dtype) if common else [], dtype))
     kept = [c for c in docs.columns if keep_text or c != "text"]
     plain = len(kept)
-    more = [] if rare is None else ["_h"]
-    keyed = docs.withColumn("_h", F.xxhash64("text"))
-    main = keyed.select(*kept, *more, F.col("text").alias("_read"))
-    whole_rows, has_tail = plain + len(more), rare is not None
+    h, read, kind, at, found, words_at, ids_at = unused([*docs.columns, "word", "ids"], "h", "read", "kind", "at", "found", "words_at", "ids_at")
+    keyed = docs.withColumn(h, F.xxhash64("text"))
+    own = f"{kind} int, {found} binary, {words_at} binary, {ids_at} binary"
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """ids of the frequent words, and where, in words and in ids, others are missing."""
@@ -226,69 +195,91 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, head: int = HEAD, keep_text:
         for whole in batches:
             for a in range(0, whole.num_rows, 500):
                 b = whole.slice(a, 500)
-                lists = [words_of(t) for t in b.column(whole_rows).to_pylist()]
-                ends = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int64)
-                have, first, size = look.find([w for x in lists for w in x])
+                ends, _, have, first, size = _split(b, plain + 1, look)
                 upto = np.concatenate(([0], np.cumsum(size)))
-                ids = pa.ListArray.from_arrays(pa.array(upto[ends].astype(np.int32)), pa.array(look.gather(first, size).astype(np.int32)))
-                out, names = [*b.columns[:whole_rows], ids], [*b.schema.names[:whole_rows], "ids"]
-                if has_tail:
-                    gone = np.flatnonzero(~have)
-                    doc = np.searchsorted(ends, gone, side="right") - 1
-                    cuts = pa.array(np.searchsorted(gone, ends).astype(np.int32))
-                    for at in (gone - ends[doc], upto[gone] - upto[ends[doc]]):
-                        out.append(pa.ListArray.from_arrays(cuts, pa.array(at.astype(np.int32))))
-                    names += ["_words_at", "_ids_at"]
-                yield pa.RecordBatch.from_arrays(out, names)
-
-    gaps_ddl = "" if rare is None else ", _words_at array<int>, _ids_at array<int>"
-    laid = main.mapInArrow(lean(place), widened(main.drop("_read"), f"ids array<int>{gaps_ddl}"))
-    if rare is None:
-        return laid
+                gone = np.flatnonzero(~have)
+                doc = np.searchsorted(ends, gone, side="right") - 1
+                cuts = np.searchsorted(gone, ends)
+                flat, bounds = look.gather(first, size), upto[ends]
+                ids = pa.array([pa.compress(flat[x:y].tobytes(), "zstd", asbytes=True) if y > x else b"" for x, y in zip(bounds, bounds[1:], strict=False)], pa.binary())
+                gaps = [_slices(x.astype(np.int32), cuts) for x in (gone - ends[doc], upto[gone] - upto[ends[doc]])]
+                yield pa.RecordBatch.from_arrays(
+                    [*b.columns[: plain + 1], pa.array(np.ones(b.num_rows, np.int32)), ids, *gaps], [*b.schema.names[: plain + 1], kind, found, words_at, ids_at]
+                )
+
+    main = keyed.select(*kept, h, F.col("text").alias(read))
+    laid = main.mapInArrow(lean(place), widened(main.drop(read), own))
 
     def gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(doc_id, _h, at, word) of words that are not frequent; `at` is their place among the words."""
+        """(doc_id, h, at, word) of words that are not frequent; `at` is their place among the words."""
         look = known.value
         for whole in batches:
             for a in range(0, whole.num_rows, 500):
                 b = whole.slice(a, 500)
-                lists = [words_of(t) for t in b.column(2).to_pylist()]
-                ends = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int64)
-                words = [w for x in lists for w in x]
-                gone = np.flatnonzero(~look.find(words)[0])
+                ends, words, have, _, _ = _split(b, 2, look)
+                gone = np.flatnonzero(~have)
                 doc = np.searchsorted(ends, gone, side="right") - 1
                 columns = [b.column(0).take(pa.array(doc)), b.column(1).take(pa.array(doc)), pa.array((gone - ends[doc]).astype(np.int32)), pa.array([words[i] for i in gone], pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "_h", "at", "word"])
-
-    tail = (
-        keyed.select("doc_id", "_h", "text")
-        .mapInArrow(lean(gaps), f"doc_id {dict(docs.dtypes)['doc_id']}, _h long, at int, word string")
-        .join(rare.select("word", F.col("ids").alias("found")), "word")
-        .groupBy("doc_id", "_h").agg(F.collect_set(F.struct("at", "found")).alias("_tail"))
-    )
-    same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & F.col("l._h").eqNullSafe(F.col("r._h"))
-    joined = laid.alias("l").join(tail.alias("r"), same, "left").select(*[F.col(f"l.{c}") for c in kept], "ids", "_words_at", "_ids_at", "_tail")
-
-    def splice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", h, at, "word"])
+
+    source, name = spark.sparkContext.broadcast(vocabulary.json), uuid.uuid4().hex
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def each_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The ids of every occurrence; words come sorted, so that each is encoded once (again only where a batch ends in it)."""
+        tok = _once(name, lambda: _tokenizer(source.value))
+        for b in batches:
+            words = b.column(3).dictionary_encode()
+            ids = pa.array(encoded_words(tok, words.dictionary.to_pylist(), dtype), pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], ids.take(words.indices)], ["doc_id", h, at, found])
+
+    key = f"doc_id {dict(docs.dtypes)['doc_id']}, {h} long, {at} int"
+    rest = keyed.select("doc_id", h, "text").mapInArrow(lean(gaps), f"{key}, word string")
+    rest = rest.repartition(parts, "word").sortWithinPartitions("word").mapInArrow(lean(each_once), f"{key}, {found} binary")
+    both = laid.unionByName(rest.withColumn(kind, F.lit(0)), allowMissingColumns=True)
+    both = both.repartition(parts, "doc_id", h).sortWithinPartitions("doc_id", h, kind)
+    names = both.columns
+    place_of = {c: names.index(c) for c in ("doc_id", h, kind, at, found, words_at, ids_at)}
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole ids of each document; the ids of its other words come before it."""
+        current, other = None, {}
         for whole in batches:
-            for a in range(0, whole.num_rows, 500):
-                b = whole.slice(a, 500)
-                out = []
-                for i, (at_w, at_i, tail) in enumerate(zip(*[b.column(plain + k).to_pylist() for k in (1, 2, 3)], strict=True)):
-                    ids = b.column(plain)[i].values.to_numpy()
-                    if at_w:
-                        found = {t["at"]: np.frombuffer(t["found"], dtype) for t in tail}
-                        parts, done = [], 0
-                        for w, k in zip(at_w, at_i, strict=True):
-                            parts += [ids[done:k], found[w]]
-                            done = k
-                        ids = np.concatenate([*parts, ids[done:]])
+            for a in range(0, whole.num_rows, 5000):
+                b = whole.slice(a, 5000)
+                doc, hashed, kinds, ats, values = (b.column(place_of[c]).to_pylist() for c in ("doc_id", h, kind, at, found))
+                rows, out = [], []
+                for i, k in enumerate(kinds):
+                    if (doc[i], hashed[i]) != current:
+                        current, other = (doc[i], hashed[i]), {}
+                    if k == 0:
+                        other[ats[i]] = values[i]
+                        continue
+                    rows.append(i)
+                    ids = np.frombuffer(_unpacked(values[i]), dtype)
+                    spots = np.frombuffer(b.column(place_of[words_at])[i].as_buffer(), np.int32).tolist()
+                    if spots:
+                        pieces, done = [], 0
+                        for w, n in zip(spots, np.frombuffer(b.column(place_of[ids_at])[i].as_buffer(), np.int32).tolist(), strict=True):
+                            pieces += [ids[done:n], np.frombuffer(other[w], dtype)]
+                            done = n
+                        ids = np.concatenate([*pieces, ids[done:]])
                     out.append(ids.astype(np.int32))
-                ends = np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*out, np.zeros(0, np.int32)])))
-                yield pa.RecordBatch.from_arrays([*b.columns[:plain], ids], [*b.schema.names[:plain], "ids"])
+                if rows:
+                    ends = np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out)))
+                    yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(rows)) for c in range(plain)), lists], [*kept, "ids"])
+
+    return both.mapInArrow(lean(fill), widened(docs.select(*kept), "ids array<int>"))
+
+
+def _unpacked(raw: bytes) -> bytes:
+    """The content of a zstandard frame, or nothing of nothing."""
+    if not raw:
+        return b""
+    import zstandard
 
-    return joined.mapInArrow(lean(splice), widened(docs.select(*kept), "ids array<int>"))
+    return zstandard.ZstdDecompressor().decompress(raw)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, column: str = "ids") -> DataFrame:

@@ -51,12 +51,30 @@ def test_empty_table_and_odd_ids(spark):
     assert sorted((r["decoded"] or "null") for r in bpe.decode(rows, vocabulary).collect()) == sorted([f"{piece} {piece}", "null", "null"])
 
 
-def test_words_of_equal_hash_are_told_apart(monkeypatch):
+def test_lookup_compares_words():
     import numpy as np
-    import pyarrow as pa
 
-    one = [np.array([i], "<u2").tobytes() for i in (7, 8, 9)]
-    monkeypatch.setattr(bpe, "xxh64_intdigest", lambda w, seed: 1 if w in (b"a", b"b") else 5)
-    look = bpe.Lookup(np.array([1, 1, 5]), pa.array(one, pa.binary()), "<u2", {"a": one[0], "b": one[1]})
-    known, first, size = look.find(["b", "a", "c"])
-    assert known.all() and look.gather(first, size).tolist() == [8, 7, 9]
+    look = bpe.Lookup(["a", "b", "c"], [np.array(x, "<u2").tobytes() for x in ([7], [8, 9], [10])], "<u2")
+    known, first, size = look.find(["b", "x", "a", "b"])
+    assert known.tolist() == [True, False, True, True] and look.gather(first, size).tolist() == [8, 9, 7, 8, 9]
+    assert not bpe.Lookup([], [], "<u2").find(["a"])[0].any()
+
+
+def test_columns_named_like_internal_ones(spark):
+    vocabulary = word_vocabulary()
+    names = ["h", "read", "kind", "at", "found", "words_at", "ids_at", "_h", "word"]
+    rows = spark.createDataFrame([(1, "the owl", *names), (2, None, *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    out = bpe.decode(bpe.encode(rows, vocabulary, head=1), vocabulary)
+    assert out.columns == ["doc_id", "text", *names, "ids", "decoded"]
+    assert sorted(tuple(r[2:-2]) for r in out.collect()) == [tuple(names)] * 2
+
+
+def test_a_very_long_text_and_a_word_in_every_row(spark, library):
+    rng = random.Random(3)
+    long = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 6))) for _ in range(200_000))
+    rows = [(i, f"common word{i % 7}") for i in range(2000)] + [(-1, long)]
+    vocabulary = word_vocabulary()
+    got = {r["doc_id"]: r["ids"] for r in bpe.encode(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary, head=1).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows[::500] + rows[-1:]:
+        assert got[i] == library.encode(t, add_special_tokens=False).ids
