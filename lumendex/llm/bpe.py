@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ..runtime import lean, ship, unused, widened
 
 #: Frequent words that are broadcast, at most: some 25 bytes each.
-HEAD = 200_000
+HEAD = 500_000
 #: Distinct words a task counts before it passes them on, and how often it must have met one to call it frequent.
 COUNTED, OFTEN = 300_000, 4
 
@@ -134,8 +134,8 @@ class Lookup:
 
     def __init__(self, words: list[str], ids: list[bytes], dtype: str):
         self.words = pa.array(words, pa.string())
-        self.size = np.array([len(x) for x in ids], np.int64) // np.dtype(dtype).itemsize
-        self.first = np.cumsum(self.size) - self.size
+        self.size = np.array([len(x) for x in ids], np.int32) // np.dtype(dtype).itemsize
+        self.first = (np.cumsum(self.size) - self.size).astype(np.int32)  # bounded by HEAD words
         self.ids = np.frombuffer(b"".join(ids), dtype)
 
     def find(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,7 +144,7 @@ class Lookup:
         if not len(self.words) or not words:
             return none.astype(bool), none, none
         at = pc.fill_null(pc.index_in(pa.array(words, pa.string()), value_set=self.words), -1).to_numpy()
-        return at >= 0, self.first[at], np.where(at >= 0, self.size[at], 0)
+        return at >= 0, self.first[at].astype(np.int64), np.where(at >= 0, self.size[at], 0).astype(np.int64)
 
     def gather(self, first: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The ids of words, one after the other."""
@@ -191,17 +191,17 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, head: int = HEAD, keep_text:
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """ids of the frequent words, and where, in words and in ids, others are missing."""
-        look = known.value
+        look, pack = known.value, pa.Codec("zstd", compression_level=6)
         for whole in batches:
-            for a in range(0, whole.num_rows, 500):
-                b = whole.slice(a, 500)
+            for a in range(0, whole.num_rows, 1000):
+                b = whole.slice(a, 1000)
                 ends, _, have, first, size = _split(b, plain + 1, look)
                 upto = np.concatenate(([0], np.cumsum(size)))
                 gone = np.flatnonzero(~have)
                 doc = np.searchsorted(ends, gone, side="right") - 1
                 cuts = np.searchsorted(gone, ends)
                 flat, bounds = look.gather(first, size), upto[ends]
-                ids = pa.array([pa.compress(flat[x:y].tobytes(), "zstd", asbytes=True) if y > x else b"" for x, y in zip(bounds, bounds[1:], strict=False)], pa.binary())
+                ids = pa.array([pack.compress(flat[x:y].tobytes(), asbytes=True) if y > x else b"" for x, y in zip(bounds, bounds[1:], strict=False)], pa.binary())
                 gaps = [_slices(x.astype(np.int32), cuts) for x in (gone - ends[doc], upto[gone] - upto[ends[doc]])]
                 yield pa.RecordBatch.from_arrays(
                     [*b.columns[: plain + 1], pa.array(np.ones(b.num_rows, np.int32)), ids, *gaps], [*b.schema.names[: plain + 1], kind, found, words_at, ids_at]
@@ -214,8 +214,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, head: int = HEAD, keep_text:
         """(doc_id, h, at, word) of words that are not frequent; `at` is their place among the words."""
         look = known.value
         for whole in batches:
-            for a in range(0, whole.num_rows, 500):
-                b = whole.slice(a, 500)
+            for a in range(0, whole.num_rows, 1000):
+                b = whole.slice(a, 1000)
                 ends, words, have, _, _ = _split(b, 2, look)
                 gone = np.flatnonzero(~have)
                 doc = np.searchsorted(ends, gone, side="right") - 1
