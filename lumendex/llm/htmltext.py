@@ -7,19 +7,24 @@ less to more distant ones; a container's points are discounted by the share of i
 text that lies in links.  The best container is kept.  If it lies inside an article
 or main element, so does all the rest of that element but siblings that are mostly
 links; otherwise those siblings stay that score well against it or are long
-paragraphs with few links.  The blocks, in page order, are the text.
+paragraphs or loose text with few links, and what lies between them.  The blocks, in
+page order, are the text.
 
 A class or id that names, say, a sidebar does not drop an element that holds the
 page's article, most of its paragraphs, or is named as content too (`_spare`).
+Where there is no article or main, the nearest element around the best container
+that is named as content takes its part.
 
-The parser is a forgiving tokeniser of its own: unclosed and stray tags, raw-text
-elements and character references are handled in one linear pass.
+The parser is a forgiving tokeniser of its own for unclosed and stray tags, raw-text
+elements, attributes and character references.  Nesting may be as deep as it is:
+sums go up the tree once, after the children, and not from each text to all above.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -59,13 +64,15 @@ FIRM = re.compile(
 GOOD = re.compile(r"(?:^|[\s_-])(?:article|content|main|body|entry|post|story|text|hentry)(?:$|[\s_-])", re.I)
 BASE = {"article": 25.0, "main": 15.0, "section": 3.0, "div": 3.0, "td": 2.0, "blockquote": 2.0, "pre": 2.0, "ul": -3.0, "ol": -3.0, "dl": -3.0}
 
-_TAG = re.compile(r"<(?:!--.*?(?:--!?>|$)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?/][^>]*(?:>|$))", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: What starts markup: a comment, a tag, or a declaration; any other "<" is text.
+_START = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)|[!?/])")
+_ENDS = re.compile(r"--!?>")
+#: One step through a tag behind its name: its end, or an attribute with its value. Quotes count only behind "=".
+_STEP = re.compile(r"[\s/]*(?:(>)|([^\s/>=][^\s/>=]*|=[^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)(\"?)|'([^']*)('?)|([^\s>\"'][^\s>]*)?))?)")
+_NAMES = frozenset("class id role hidden aria-hidden".split())
 _PARAGRAPHS = frozenset("p pre td blockquote li dd div section article main body root figcaption".split())
 #: Share of a paragraph's points that its 1st, 2nd, ... ancestor gets.
 _SHARES = (1.0, 0.5, 1 / 3, 0.25, 0.2)
-#: Deeper elements become siblings, so that no page costs more than its length times this.
-_DEPTH = 256
 #: Elements that are no container of an article.
 _NO_CONTAINER = INLINE | frozenset("root html p li dt dd pre hr tr h1 h2 h3 h4 h5 h6 figcaption caption".split())
 
@@ -73,22 +80,39 @@ _NO_CONTAINER = INLINE | frozenset("root html p li dt dd pre hr tr h1 h2 h3 h4 h
 class Node:
     """An element: `parts` holds its texts and child elements in order; `soft` is why its name alone drops it, if so."""
 
-    __slots__ = ("tag", "parts", "parent", "drop", "score", "soft", "text", "link", "depth")
+    __slots__ = ("tag", "parts", "parent", "drop", "score", "soft", "good", "text", "link")
 
-    def __init__(self, tag: str, parent: "Node | None", drop: bool = False, score: float = 0.0, soft: str = ""):
-        self.tag, self.parent, self.drop, self.score, self.soft = tag, parent, drop, score, soft
+    def __init__(self, tag: str, parent: "Node | None", drop: bool = False, score: float = 0.0, soft: str = "", good: bool = False):
+        self.tag, self.parent, self.drop, self.score, self.soft, self.good = tag, parent, drop, score, soft, good
         self.parts: list = []
         self.text = self.link = 0
-        self.depth = parent.depth + 1 if parent is not None else 0
 
 
-def _unlikely(tag: str, attrs: str) -> tuple[bool, float, str]:
-    """Whether an element is dropped for its tag or attributes, its first points, and, if only class or id drop it, "firm", "good" (named as content too) or "soft"."""
-    drop, score, soft = tag in DROPPED, BASE.get(tag, 0.0), ""
+def _tag_end(page: str, at: int, marks: bool) -> tuple[int, list[tuple[str, str]], bool]:
+    """Where a tag ends whose name ends at `at`, its attributes that matter (if `marks`), and whether it closes itself.
+
+    A tag with a quoted value that is never closed ends at the next ">", and one without any at the page's end.
+    """
+    found: list[tuple[str, str]] = []
+    while (m := _STEP.match(page, at)) is not None:
+        if m[1]:
+            return m.end(), found, page[m.end() - 2] == "/"
+        if m[4] == "" or m[6] == "":  # once a page for each kind of quote, as none follows
+            end = page.find(">", m.start())
+            return (len(page) if end < 0 else end + 1), found, False
+        name = m[2].lower()
+        if marks and name in _NAMES:
+            found.append((name, m[3] or m[5] or m[7] or ""))
+        at = m.end()
+    return len(page), found, False
+
+
+def _unlikely(tag: str, attrs: list[tuple[str, str]]) -> tuple[bool, float, str, bool]:
+    """Whether an element is dropped for its tag or attributes, its first points, and, if only class or id drop it, "firm", "good" (named as content too) or "soft"; and whether it is named as content."""
+    drop, score, soft, good = tag in DROPPED, BASE.get(tag, 0.0), "", False
     if not drop and attrs and tag not in ("article", "main", "body", "html"):
-        hard = named = firm = good = False
-        for name, *values in _ATTR.findall(attrs):
-            name, value = name.lower(), next(filter(None, values), "")
+        hard = named = firm = False
+        for name, value in attrs:
             if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in ROLES:
                 hard = True
             elif name in ("class", "id"):
@@ -100,36 +124,56 @@ def _unlikely(tag: str, attrs: str) -> tuple[bool, float, str]:
         drop = hard or named
         if named and not hard:
             soft = "good" if good else "firm" if firm else "soft"
-    return drop, score, soft
+    return drop, score, soft, good
+
+
+#: Open elements are also counted since the last of these, which stray end tags do not pass.
+_SCOPES = frozenset("table article main body".split())
+
+
+def _leave(node: Node, outer: Node, open_: Counter, scopes: list[tuple[Node, Counter]]) -> Node:
+    """`outer`, after all elements from `node` up to below it are closed."""
+    while node is not outer:
+        if scopes[-1][0] is node:
+            scopes.pop()
+        scopes[-1][1][node.tag] -= 1
+        open_[node.tag] -= 1
+        node = node.parent
+    return outer
 
 
 def parse(page: str) -> Node:
     """The element tree of a page."""
     root = node = Node("root", None)
-    at, n = 0, len(page)
+    at, n, open_, scopes = 0, len(page), Counter(), [(root, Counter())]
     while at < n:
-        m = _TAG.search(page, at)
+        m = _START.search(page, at)
         if m is None:
-            rest = page[at:]
-            if rest:
-                node.parts.append(html.unescape(rest))
+            node.parts.append(html.unescape(page[at:]))
             break
         if m.start() > at:
             node.parts.append(html.unescape(page[at : m.start()]))
-        at = m.end()
-        name = m[2]
-        if not name:
-            continue
-        tag = name.lower()
         if m[1]:
-            up = node
+            end = _ENDS.search(page, m.end())
+            at = n if end is None else end.end()
+            continue
+        if not m[3]:
+            end = page.find(">", m.end())
+            at = n if end < 0 else end + 1
+            continue
+        at, attrs, closed = _tag_end(page, m.end(), not m[2])
+        tag = m[3].lower()
+        if m[2]:
+            wall = scopes[-1][0].tag
+            shut = wall == "table" and tag not in ("table", "body", "html") or wall in ("article", "main", "body") and tag in INLINE
+            up = node if (scopes[-1][1] if shut else open_)[tag] else None  # else a stray end tag, without a look at all that is open
             while up is not None and up.tag != tag:
                 if up.tag == "table" and tag not in ("body", "html") or up.tag in ("article", "main", "body") and tag in INLINE:
                     up = None  # a stray end tag does not close what lies outside
                     break
                 up = up.parent
             if up is not None and up.parent is not None:
-                node = up.parent
+                node = _leave(node, up.parent, open_, scopes)
             continue
         if tag == "br":
             node.parts.append(" ")
@@ -139,27 +183,29 @@ def parse(page: str) -> Node:
                 node.parts.append(Node("hr", node))
             continue
         closes, stops = SIBLINGS.get(tag, ("p", "table td th button li") if tag in CLOSES_P else ("", ""))
-        if closes:
+        if closes and any(open_[x] for x in closes.split()):
             closes, stops, up = closes.split(), stops.split(), node
             while up is not None and up.tag not in stops:
                 if up.tag in closes:
-                    node = up.parent
+                    node = _leave(node, up.parent, open_, scopes)
                     if tag not in ("tr", "td", "th"):
                         break
                 elif tag in CLOSES_P and up.tag not in INLINE:
                     break
                 up = up.parent
-        if node.depth >= _DEPTH:
-            node = node.parent
-        child = Node(tag, node, *_unlikely(tag, m[3]))
+        child = Node(tag, node, *_unlikely(tag, attrs))
         node.parts.append(child)
-        if m[3].endswith("/") and tag in ("svg", "math"):
+        if closed and tag in ("svg", "math"):
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
             at = n if end is None else end.start()
             continue
         node = child
+        open_[tag] += 1
+        scopes[-1][1][tag] += 1
+        if tag in _SCOPES:
+            scopes.append((child, Counter()))
     return root
 
 
@@ -195,6 +241,17 @@ def blocks(node: Node, links: bool = False) -> Iterator[tuple[Node, str, int]]:
             stack.pop()
 
 
+def _after_children(root: Node) -> list[Node]:
+    """All elements, each after those inside it; those of dropped elements too."""
+    found, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        found.append(x)
+        stack.extend(part for part in x.parts if not isinstance(part, str))
+    found.reverse()
+    return found
+
+
 def _spare(root: Node) -> None:
     """Take back the drop, by name only, of elements that hold the page's article.
 
@@ -202,55 +259,44 @@ def _spare(root: Node) -> None:
     half of the text of its paragraphs (unless the name is firm), and those that are
     named as content too and are not mostly links.
     """
-    soft, hosts, stack = [], [], [root]
+    soft, hosts, stack = [], 0, [(root, False, 0)]
     while stack:
-        x = stack.pop()
+        x, in_article, mains = stack.pop()
         if x.soft:
             x.drop = False
-            soft.append(x)
+            soft.append((x, in_article, mains))
         elif x.drop:
             continue
-        if x.tag in ("article", "main"):
-            hosts.append(x)
-        stack.extend(part for part in x.parts if not isinstance(part, str))
+        hosts += x.tag in ("article", "main")
+        in_article, mains = in_article or x.tag == "article", mains + (x.tag == "main")
+        stack.extend((part, in_article, mains) for part in x.parts if not isinstance(part, str))
     if not soft:
         return
-    sums: dict[int, list[int]] = {}
-    inside: dict[int, int] = {}
+    sums: dict[int, list[int]] = {}  # of each element: text in paragraphs outside links, text, text in links, articles and mains inside
     for owner, text, linked in blocks(root):
-        plain = len(text) - linked if owner.tag in _PARAGRAPHS and len(text) >= 25 else 0
-        up: Node | None = owner
-        while up is not None:
-            got = sums.setdefault(id(up), [0, 0, 0])
-            got[0], got[1], got[2] = got[0] + plain, got[1] + len(text), got[2] + linked
-            up = up.parent
-    for x in hosts:
-        while (x := x.parent) is not None:
-            inside[id(x)] = inside.get(id(x), 0) + 1
+        got = sums.setdefault(id(owner), [0, 0, 0, 0])
+        got[0] += len(text) - linked if owner.tag in _PARAGRAPHS and len(text) >= 25 else 0
+        got[1], got[2] = got[1] + len(text), got[2] + linked
+    for x in _after_children(root):
+        if x.parent is not None and not x.drop:
+            own, up = sums.get(id(x), [0, 0, 0, 0]), sums.setdefault(id(x.parent), [0, 0, 0, 0])
+            for i in range(4):
+                up[i] += own[i]
+            up[3] += x.tag in ("article", "main")
     whole = sums.get(id(root), [0])[0]
-    for x in soft:
-        plain, chars, linked = sums.get(id(x), (0, 0, 0))
-        above, up = [], x.parent
-        while up is not None:
-            above.append(up.tag)
-            up = up.parent
-        held = inside.get(id(x), 0)
-        holds = held > 0 and "article" not in above and held + above.count("main") == len(hosts)
+    for x, in_article, mains in soft:
+        plain, chars, linked, held = sums.get(id(x), (0, 0, 0, 0))
+        holds = held > 0 and not in_article and held + mains == hosts
         most = x.soft != "firm" and 2 * plain > whole
         x.drop = not (holds or most or x.soft == "good" and 2 * linked <= chars)
 
 
 def _rate(root: Node) -> Node:
     """Pass points up the tree; the best container, or the root where no paragraph gives points."""
-    seen: dict[int, Node] = {}
     given = False
     for owner, text, linked in blocks(root):
-        up: Node | None = owner
-        while up is not None:
-            up.text += len(text)
-            up.link += linked
-            seen[id(up)] = up
-            up = up.parent
+        owner.text += len(text)
+        owner.link += linked
         if owner.tag in _PARAGRAPHS and len(text) >= 25:
             points = (1.0 + text.count(",") + min(len(text) / 100, 3.0)) * (1 - linked / len(text))
             given |= points > 0
@@ -261,7 +307,12 @@ def _rate(root: Node) -> Node:
                 up.score += points * share
                 up = up.parent
     best, most = root, float("-inf")
-    for x in seen.values():
+    for x in _after_children(root):
+        if not x.text:
+            continue
+        if x.parent is not None:
+            x.parent.text += x.text
+            x.parent.link += x.link
         if x.tag in _NO_CONTAINER or not given and x.tag not in ("article", "main"):
             continue
         rated = x.score * (1 - x.link / x.text) - (5.0 if x.tag == "body" else 0.0)
@@ -271,6 +322,49 @@ def _rate(root: Node) -> Node:
     return best
 
 
+def _runs(parts: list) -> list[list]:
+    """Neighbouring texts and inline elements together; every other element alone."""
+    found: list[list] = []
+    loose = False
+    for part in parts:
+        inline = isinstance(part, str) or part.tag in INLINE
+        if inline and loose:
+            found[-1].append(part)
+        else:
+            found.append([part])
+        loose = inline
+    return found
+
+
+def _beside(best: Node) -> list:
+    """The best container and what of its parent belongs to it: siblings that score well, long paragraphs and loose text with few links, and all between them that is not mostly links."""
+    up, limit = best.parent, max(10.0, best.score * 0.2)
+    runs = _runs(up.parts)
+    kept, dense = [], []
+    for run in runs:
+        first = run[0]
+        if isinstance(first, str) or first.tag in INLINE:
+            shown = [x for x in run if isinstance(x, str) or not x.drop]
+            text = sum(len(" ".join(x.split())) if isinstance(x, str) else x.text for x in shown)
+            link = sum(0 if isinstance(x, str) else x.text if x.tag == "a" else x.link for x in shown)
+            dense.append(link / text if text else 0.0)
+            kept.append(text >= 25 and dense[-1] < 0.25 or best in run)
+            continue
+        dense.append(first.link / first.text if first.text else 0.0)
+        if first is best:
+            kept.append(True)
+        elif first.drop or not first.text:
+            kept.append(False)
+        elif first.tag in HEADINGS:
+            kept.append(dense[-1] < 0.25 and up.tag == "main")
+        elif first.tag == "p":
+            kept.append(first.text > 80 and dense[-1] < 0.25)
+        else:
+            kept.append(first.score * (1 - dense[-1]) >= limit)
+    low, high = kept.index(True), len(kept) - 1 - kept[::-1].index(True)
+    return [part for i, run in enumerate(runs) if kept[i] or low < i < high and dense[i] <= 0.5 for part in run]
+
+
 def extract(page: str | None) -> str:
     """Main text of a page; empty for a null, empty or textless page."""
     if not page:
@@ -281,6 +375,10 @@ def extract(page: str | None) -> str:
     host = best
     while host is not None and host.tag not in ("article", "main"):
         host = host.parent
+    if host is None and not best.good:  # else the nearest element that is named as content
+        host = best.parent
+        while host is not None and not (host.good and host.tag != "body"):
+            host = host.parent
     if host is not None and host is not best:
         x = best
         while x is not host:
@@ -289,32 +387,20 @@ def extract(page: str | None) -> str:
                     part.drop |= 2 * part.link > part.text
             x = x.parent
         return " ".join(text for _, text, _ in blocks(host))
-    up = best.parent
-    if up is None or best.tag == "body":
-        kept = [best]
-    else:
-        limit, kept = max(10.0, best.score * 0.2), []
-        for part in up.parts:
-            if part is best:
-                kept.append(part)
-            elif isinstance(part, Node) and not part.drop and part.text:
-                dense = part.link / part.text
-                if part.tag in HEADINGS and host is not None and dense < 0.25:
-                    good = up.tag == "main"
-                elif part.tag == "p":
-                    good = part.text > 80 and dense < 0.25
-                else:
-                    good = part.score * (1 - dense) >= limit
-                if good:
-                    kept.append(part)
-    return " ".join(text for x in kept for _, text, _ in blocks(x))
+    if best.parent is None or best.tag == "body":
+        return " ".join(text for _, text, _ in blocks(best))
+    best.parent.parts = _beside(best)
+    return " ".join(text for _, text, _ in blocks(best.parent))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """`pages` with text and n_chars (code points).
 
-    Only `html` is read; other columns pass through, and columns with the added
-    names are replaced.  A null, empty or textless page has an empty text.
+    Only `html` is read; other columns pass through whatever their names, but
+    columns with the added names are replaced.  A null, empty or textless page has
+    an empty text; a very long or deep page is read whole; repeated rows are worked
+    on one by one, and of equally good containers the inner and first one counts.
+    An empty table gives no rows.
     """
     ship(pages.sparkSession)
     pages = pages.drop("text", "n_chars")

@@ -102,6 +102,38 @@ def test_whole_article(page, want):
     assert htmltext.extract(page) == want
 
 
+ODD = [
+    ("<article><p title=it's>Hello world, here it is.</p><p>Second para.</p></article>", "Hello world, here it is. Second para."),
+    ('<article><p data-x="a>b" title=\'c"d\'>One, two.</p><img alt="x > y"><p/class=a>Three.</p></article>', "One, two. Three."),
+    ("<article><p>Four < five, 6 <7 and <b x='y>bold</b> text.</p></article>", "Four < five, 6 <7 and bold text."),
+    ("<article><p =odd =\"v\" a = 'b'>Six.</p></article>", "Six."),
+    ("<div>" * 300 + "<nav><ul><li>MENU ITEM</li></ul></nav><article><p>Real article text, long enough.</p></article>" + "</div>" * 300, "Real article text, long enough."),
+    (
+        f"<body><div>x</div><div class='article-body'><div><p>{'Long, longer, ' * 20}</p></div><h2>Heading two</h2><div><p>Short end.</p></div> loose</div></body>",
+        " ".join(("Long, longer, " * 20).split()) + " Heading two Short end. loose",
+    ),
+    (
+        f"<body><div><div><p>{'Long, longer, ' * 20}</p></div>Loose text beside the container, with <b>bold</b> words.<h2>Between</h2><div><p>{'More, yet more, ' * 15}</p></div><ul><li><a>Link</a></li></ul></div></body>",
+        " ".join(("Long, longer, " * 20).split()) + " Loose text beside the container, with bold words. Between " + " ".join(("More, yet more, " * 15).split()),
+    ),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), ODD)
+def test_odd_markup(page, want):
+    assert htmltext.extract(page) == want
+
+
+@pytest.mark.parametrize("page", ["<a b='y ", "<div>x", "<b><p>x</p>", "</b><div>", "<table><td></b>", "<li><", "<!-", "&#x41;,", "<div class='ad'>some words, and more of them</div>"])
+def test_time_is_linear(page):
+    import time
+
+    page = "<b><article>" + page * (200_000 // len(page))
+    began = time.process_time()
+    htmltext.extract(page)
+    assert time.process_time() - began < 4
+
+
 def test_pages(spark):
     import html
     import re
