@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import broadcast_if_small, saved
+from ..runtime import broadcast_if_small, saved, unused
 
 #: Hash buckets of the first pass that looks for a source's cut: as many as three hex digits.
 _DIGITS = 3
@@ -98,28 +98,29 @@ def plan(docs: DataFrame, epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3),
 def mix(docs: DataFrame, epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: str = "mix") -> DataFrame:
     """`docs` with size, source_size, target, repeats and taken (= size * repeats).
 
-    doc_id, text and source are read; other columns pass through unchanged, except
-    that columns with the added names are replaced.  A null text has size 0; null
-    sources are one source, the last; documents with equal doc_id share their
-    decision; an empty table gives an empty one.  The same table and seed always
-    give the same result.
+    doc_id, text and source are read; other columns pass through unchanged whatever
+    their names, except that columns with the added names are replaced.  A null text
+    has size 0, as an empty one; a very long text is only counted; null sources are
+    one source, the last; documents with equal doc_id (repeated rows among them)
+    share their decision, so ties do not matter; an empty table gives an empty one.
+    The same table and seed always give the same result.
     """
     added = ("size", "source_size", "target", "repeats", "taken")
-    per_source = broadcast_if_small(saved(plan(docs, epochs, weights, seed), "mix-plan"))  # a row a source
     docs = docs.drop(*added)
-    left = docs.withColumn("size", word_count(F.col("text"))).withColumn("_h", _hash(seed))
-    once = (F.col("_h") <= F.col("r.cut")).cast("long")
-    return (
-        left.alias("l").join(per_source.alias("r"), F.col("l.source").eqNullSafe(F.col("r.source")))
-        .withColumn("repeats", F.col("whole") + F.coalesce(once, F.lit(0)))
-        .select("l.*", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
-        .drop("_h")
-    )
+    h, of, whole, cut = unused([*docs.columns, *added], "h", "of", "whole", "cut")
+    per_source = saved(plan(docs, epochs, weights, seed), "mix-plan")  # a row a source
+    per_source = broadcast_if_small(per_source.select(F.col("source").alias(of), "source_size", "target", F.col("whole").alias(whole), F.col("cut").alias(cut)))
+    left = docs.withColumn("size", word_count(F.col("text"))).withColumn(h, _hash(seed))
+    once = F.coalesce((F.col(h) <= F.col(cut)).cast("long"), F.lit(0))
+    joined = left.join(per_source, F.col("source").eqNullSafe(F.col(of))).withColumn("repeats", F.col(whole) + once)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return joined.select(*own, "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
 
 
 def expand(mixed: DataFrame) -> DataFrame:
     """Each document as often as the mix repeats it."""
-    return mixed.filter(F.col("repeats") > 0).withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats")))).drop("_n")
+    (n,) = unused(mixed.columns, "n")
+    return mixed.filter(F.col("repeats") > 0).withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats")))).drop(n)
 
 
 #: DuckDB SQL for the rows of `op9_mix`.

@@ -96,3 +96,24 @@ def test_native_plans(spark):
         plan = out._jdf.queryExecution().toString()
         assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct", "NestedLoop"))
     assert mixing.mix(df).filter(F.col("repeats") > 3).isEmpty()
+
+
+def test_stages_keep_columns_of_clashing_names(spark):
+    import corpus_pipeline
+
+    names = [
+        "_h", "h", "of", "whole", "cut", "size", "target", "taken", "repeats", "source_size", "spans", "redacted", "rejected", "lang_pred", "lang_score",
+        "_gone", "_twice", "gone", "twice", "bucket", "label", "n", "kept", "key",
+    ]
+    texts = ["the owl sees the old tree", "the owl sees the old tree", None, "", "la casa es muy grande y blanca", "token = abcdef123456 here", "x " * 20_000]
+    rows = [(i, t, ("en", "es", None)[i % 3], ("a", "b", None)[i % 3], len(t or ""), *names) for i, t in enumerate(texts)]
+    rows += [rows[0], (None, "no id at all", "en", "a", 12, *names)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names)
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, "")
+        assert got.columns == docs.columns, name
+        assert {tuple(r[5:]) for r in got.collect()} == {tuple(names)}, name
+        assert stage(spark, docs.limit(0), "").count() == 0, name
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, "")
+    assert set(names) <= set(last.columns) and last.count() == len(rows)
