@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import broadcast_if_small, lean, saved, ship
+from ..operators.components import components
+from ..runtime import broadcast_if_small, lean, saved, ship, unused
 from .kernels import U, Words, bands, buffers, chunks, mix, one_permutation, shingles
 
 _SET = ["s1", "s2", "n"]
@@ -89,26 +90,6 @@ def _fits(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """id, label: the least id reachable from every id in edges (a, b); ids without edges are left out.
-
-    Every round takes the least label among neighbours and then the label's own
-    label, so the number of rounds is logarithmic in the longest path.
-    """
-    both = saved(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
-    labels = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "id")
-    labels = saved(labels, "cc-labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("label").alias("m")).withColumnRenamed("a", "id")
-        step = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        up = labels.select(F.col("id").alias("label"), F.col("label").alias("top"))
-        step = saved(step.join(up, "label").select("id", "old", F.least("label", "top").alias("label")), "cc-step")
-        changed = step.filter("label <> old").limit(1).count()
-        labels = step.select("id", "label")
-        if not changed:
-            return labels
-
-
 def _common(x: np.ndarray, ends_x: np.ndarray, y: np.ndarray, ends_y: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of all sets x with all sets y, by products of incidence matrices in slabs."""
     keys = np.intersect1d(x, y)
@@ -210,8 +191,9 @@ def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
     Null and wordless texts have no shingles and are alone; rows of equal doc_id
     are one vertex if their sets are equal (ids are expected to be unique: of rows
     with equal id and different texts each stands for the id); null ids are left
-    out of all classes and their own component (null).  An empty table gives no
-    rows.
+    out of all classes and their own component (null).  Of equal sets the least id
+    stands; a very long text's set is whole; columns other than doc_id and text,
+    whatever their names, are not read.  An empty table gives no rows.
     """
     params = params or Params()
     rows = saved(signatures(docs, params), "dup-rows")
@@ -251,15 +233,16 @@ def deduplicate(docs: DataFrame, params: Params | None = None) -> DataFrame:
     """Those rows of `docs` that stand for their component; all columns stay.
 
     Rows that share both doc_id and text count as one, and one of them stays; rows
-    without a doc_id all stay.
+    without a doc_id all stay.  Other columns pass through whatever their names.
     """
+    out, pair = unused(docs.columns, "gone", "twice")
     found = saved(near_duplicates(docs.select("doc_id", "text"), params), "dup-result")
-    gone = found.filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    twice = saved(found.filter("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_twice")).count().filter("count > 1").select("_twice"), "dup-twice")
+    gone = found.filter("NOT kept").select(F.col("doc_id").alias(out)).distinct()
+    twice = saved(found.filter("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(pair)).count().filter("count > 1").select(pair), "dup-twice")
     gone = broadcast_if_small(saved(gone, "dup-gone"), 1_000_000)
-    rest = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    rest = docs.join(gone, F.col("doc_id") == F.col(out), "left_anti")
     if not twice.limit(1).count():
         return rest
-    single = rest.join(twice, F.col("doc_id") == F.col("_twice"), "left_anti")
-    repeated = rest.join(twice, F.col("doc_id") == F.col("_twice"), "left_semi").dropDuplicates(["doc_id", "text"])
+    single = rest.join(twice, F.col("doc_id") == F.col(pair), "left_anti")
+    repeated = rest.join(twice, F.col("doc_id") == F.col(pair), "left_semi").dropDuplicates(["doc_id", "text"])
     return single.unionByName(repeated)
