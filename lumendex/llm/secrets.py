@@ -1,13 +1,13 @@
 """Secret scanning: fixed patterns, and a character network over every candidate and its context.
 
 The base patterns (`assign`, `access`, `hex`) always hold.  Beside them every token
-that mixes kinds of characters is a candidate: a small convolutional network in
-numpy reads its characters and those around it, and candidates that score at or
-above a threshold are added as kind `cnn`.  The network learns from labelled
-findings: the base patterns' own findings in a bounded, seeded sample of the
-table's candidates, and generated secrets and look-alikes of known label.  Its
-scores are calibrated (Platt), and the threshold is the highest that still finds
-`Params.recall` of the secrets that training did not see.
+that mixes kinds of characters is a candidate, as far as no base span covers it: a
+small convolutional network in numpy reads its characters and those around it, and
+candidates that score at or above a threshold are added as kind `cnn`.  The network
+learns from labelled findings: candidates that base patterns meet, in a bounded,
+seeded sample of the table, and generated secrets and look-alikes of known label.
+Its scores are calibrated (Platt) on half of the rows that training did not see;
+the threshold is the highest that finds `Params.recall` of the secrets in the other half.
 """
 
 from __future__ import annotations
@@ -32,9 +32,12 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "cnn")
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: A candidate: a token of 16 characters or more with a digit and a letter, or with small and capital letters and a digit or sign.
-_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{16,}", re.A)
-_MIXED = re.compile(r"(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])", re.A)
+#: A candidate: a token of LEAST characters or more with a digit and a letter, or with a capital letter somewhere behind a small one.
+LEAST = 12
+_TOKEN = re.compile(rf"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{{{LEAST},}}", re.A)
+_MIXED = re.compile(r"(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])|[^a-z]*[a-z][^A-Z]*[A-Z]", re.A)
+#: The name in front of a value, which is no part of the secret.
+_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.-]*=(?!=)", re.A)
 CONTEXT = 24
 SEGMENT = 64
 
@@ -47,7 +50,9 @@ class Params:
 
     #: Candidates of the table that training reads at most.
     rows: int = 2000
-    generated: int = 1500
+    #: Characters of a table candidate that training reads at most; longer ones are scanned all the same.
+    longest: int = 4096
+    generated: int = 3000
     dim: int = 8
     filters: int = 24
     width: int = 5
@@ -55,8 +60,6 @@ class Params:
     batch: int = 32
     rate: float = 0.1
     recall: float = 0.98
-    #: The least calibrated score that adds a span, whatever the recall.
-    least: float = 0.5
     seed: int = 11
 
 
@@ -83,9 +86,20 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found)
 
 
-def candidates(text: str) -> list[tuple[int, int]]:
-    """Every token that may be a secret."""
-    return [(m.start(), m.end()) for m in _TOKEN.finditer(text) if _MIXED.match(m[0])]
+def candidates(text: str, spans: list[Span] = ()) -> list[tuple[int, int]]:
+    """Every token that may be a secret, without a name and an equals sign before it or a full stop behind it, and only what lies outside `spans`."""
+    found = []
+    for m in _TOKEN.finditer(text):
+        start, end = m.start(), m.end()
+        name = _NAME.match(text, start, end)
+        start = name.end() if name else start
+        while end > start and text[end - 1] == ".":
+            end -= 1
+        for s, _, e in sorted(x for x in spans if x[0] < end and start < x[2]):
+            found.append((start, s))
+            start = max(start, e)
+        found.append((start, end))
+    return [(s, e) for s, e in found if e - s >= LEAST and _MIXED.match(text, s, e)]
 
 
 def _codes() -> np.ndarray:
@@ -162,12 +176,14 @@ def generated(count: int, seed: int) -> list[tuple[str, int, int, int]]:
     for k in range(count):
         n = int(rng.integers(20, 64))
         if k % 2:
-            kind = k // 2 % 6
-            body = (pick(hexa, 40), pick(alnum, n), "ghp_" + pick(alnum, 36), pick(alnum + "+/", 40), "eyJ" + pick(alnum, 20) + "." + pick(alnum + "_-", n), "sk_live_" + pick(alnum, 24))[kind]
+            kind = k // 2 % 8
+            body = (pick(alnum, int(rng.integers(13, 19))) + pick(digit, 1), pick(small, 3) + pick(small + small.upper(), n) + pick(small.upper(), 1), pick(hexa, 40), pick(alnum, n), "ghp_" + pick(alnum, 36), pick(alnum + "+/", 40), "eyJ" + pick(alnum, 20) + "." + pick(alnum + "_-", n), "sk_live_" + pick(alnum, 24))[kind]
             lead = ('token = "', "Authorization: Bearer ", "key=", 'secret: "', "client_secret=", "credentials ")[int(rng.integers(0, 6))]
         else:
-            kind = k // 2 % 7
+            kind = k // 2 % 9
             body = (
+                "".join(w.capitalize() for w in words(3).split()) + "Name",
+                words(1) + "." + words(1).capitalize() + words(1).capitalize() + "." + words(1) + "Of",
                 words(1) + "." + pick(digit, 2) + "@mail" + pick(digit, 1) + ".example.com",
                 pick("etaoinshrdlu", n // 2 + 8) + pick(digit, 1),
                 words(3).replace(" ", "-") + "-" + pick(digit, 4) + "-page",
@@ -179,11 +195,11 @@ def generated(count: int, seed: int) -> list[tuple[str, int, int, int]]:
             lead = ""
         before = words(int(rng.integers(0, 6))) + " " + lead
         found.append((before + body + ('" ' if lead.endswith('"') else " ") + words(int(rng.integers(0, 6))), len(before), len(before) + len(body), k % 2))
-    return [x for x in found if x[2] - x[1] >= 12]
+    return [x for x in found if x[2] - x[1] >= LEAST]
 
 
 def fit(items: list[np.ndarray], y: np.ndarray, test: np.ndarray, params: Params) -> Model:
-    """Train by stochastic gradient descent; rows where `test` is true calibrate and set the threshold."""
+    """Train by stochastic gradient descent; of the rows where `test` is true every other one calibrates, and the rest set the threshold."""
     p, rng = params, np.random.default_rng(params.seed)
     model = Model(
         rng.normal(0, 0.3, (2 * _SYMBOLS, p.dim)).astype(np.float32),
@@ -214,21 +230,25 @@ def fit(items: list[np.ndarray], y: np.ndarray, test: np.ndarray, params: Params
             where = at[:, :, None] + np.arange(p.width)
             symbol = c[np.arange(len(rows))[:, None, None], where]
             np.subtract.at(model.embed, symbol, (rate * 10 * grad_in.reshape(len(rows), p.filters, p.width, p.dim)).astype(np.float32))
-    held = np.flatnonzero(test)
-    if len(held) and len(set(y[held])) == 2:
+    held, judged = np.flatnonzero(test)[::2], np.flatnonzero(test)[1::2]
+    if len(held) and len(set(y[held])) == 2 and y[judged].any():
         z, t = logits(model, [items[i] for i in held]), y[held]
         s, b = 1.0, 0.0
         for _ in range(300):  # Platt scaling by gradient descent
             d = _sigmoid(s * z + b) - t
             s, b = s - 0.05 * float((d * z).mean() + 1e-3 * s), b - 0.2 * float(d.mean())
         model.scale = (max(s, 1e-3), b)
-        q = np.sort(_sigmoid(model.scale[0] * z + b)[t == 1])
-        model.threshold = max(p.least, float(q[int((1 - p.recall) * len(q))]))
+        q = np.sort(probability(model, [items[i] for i in judged if y[i]]))
+        model.threshold = float(q[int((1 - p.recall) * len(q))])
     return model
 
 
 def train(docs: DataFrame, params: Params | None = None) -> Model:
-    """Fit on a bounded sample of the candidates of all texts, labelled by the base patterns, and on generated findings."""
+    """Fit on a bounded sample of the candidates that base patterns meet in all texts, and on generated findings and look-alikes.
+
+    A candidate that no base pattern meets may be a secret or none, so it is not a
+    label; repeated candidates count once, and null and empty texts have none.
+    """
     params = params or Params()
     ship(docs.sparkSession)
 
@@ -240,19 +260,20 @@ def train(docs: DataFrame, params: Params | None = None) -> Model:
                     continue
                 spans = [(s, e) for s, _, e in base_spans(text)]
                 for s, e in candidates(text):
-                    label = int(any(x < e and s < z for x, z in spans))
+                    if not any(x < e and s < z for x, z in spans):
+                        continue
                     around = text[max(0, s - CONTEXT) : e + CONTEXT]
                     key = hashlib.md5(around.encode("utf-8", "surrogatepass")).hexdigest()
-                    rows.append((key, around, s - max(0, s - CONTEXT), e - s, label))
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["key", "around", "start", "size", "label"])
+                    rows.append((key, around, s - max(0, s - CONTEXT), e - s))
+            cols = list(zip(*rows, strict=True)) or [[]] * 4
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["key", "around", "start", "size"])
 
-    schema = "key string, around string, start int, size int, label int"
-    found = docs.select("text").mapInArrow(lean(run), schema).filter(F.col("size") <= 4096)  # longer ones cannot all be sent to the driver
+    schema = "key string, around string, start int, size int"
+    found = docs.select("text").mapInArrow(lean(run), schema).filter(F.col("size") <= params.longest)
     rank = found.dropDuplicates(["key"])
-    rows = [tuple(r) for r in rank.orderBy("key").limit(params.rows).select("around", "start", "size", "label").collect()]
-    labelled = [(t, s, s + n, y) for t, s, n, y in rows] + generated(params.generated, params.seed)
+    rows = [tuple(r) for r in rank.orderBy("key").limit(params.rows).select("around", "start", "size").collect()]
+    labelled = [(t, s, s + n, 1) for t, s, n in rows] + generated(params.generated, params.seed)
     items = [encode(t, s, e) for t, s, e, _ in labelled]
     test = np.array([zlib.crc32(t[s:e].encode("utf-8", "surrogatepass")) % 4 == 0 for t, s, e, _ in labelled], bool)
     return fit(items, np.array([y for *_, y in labelled], float), test, params)
@@ -265,10 +286,9 @@ def spans_of(texts: list[str | None], model: Model | None) -> list[list[Span]]:
         spans = base_spans(text) if text else []
         found.append(spans)
         if text and model is not None:
-            for s, e in candidates(text):
-                if not any(x < e and s < z for x, _, z in spans):
-                    asked.append((i, s, e))
-                    items.append(encode(text, s, e))
+            for s, e in candidates(text, spans):
+                asked.append((i, s, e))
+                items.append(encode(text, s, e))
     if asked:
         for (i, s, e), q in zip(asked, probability(model, items), strict=True):
             if q >= model.threshold:
@@ -291,8 +311,11 @@ def redact(text: str, spans: list[Span], mark: str = "[SECRET]") -> str:
 def scan(docs: DataFrame, model: Model | None) -> DataFrame:
     """`docs` with spans (array of kind, start, end; code points, end exclusive) and redacted (the text without secrets).
 
-    Only `text` is read; other columns pass through, and columns with the added
-    names are replaced.  A null text has no spans and stays null.
+    Only `text` is read; other columns pass through whatever their names, but
+    columns with the added names are replaced.  A null text has no spans and stays
+    null, an empty one stays empty; very long texts and candidates are read whole;
+    repeated rows get equal results, spans that start together stand in order of
+    kind, and an empty table gives no rows.
     """
     ship(docs.sparkSession)
     docs = docs.drop("spans", "redacted")
