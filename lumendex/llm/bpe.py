@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from ..runtime import lean, ship, unused, widened
 
 #: Frequent words that are broadcast, at most: some 25 bytes each.
-HEAD = 500_000
+HEAD = 1_000_000
 #: Distinct words a task counts before it passes them on, and how often it must have met one to call it frequent.
-COUNTED, OFTEN = 300_000, 4
+COUNTED, OFTEN = 300_000, 2
 
 # The vocabulary's rules for splitting, and its special tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -114,12 +114,13 @@ def frequent_words(docs: DataFrame, most: int) -> list[str]:
 
     ship(docs.sparkSession)
     counted = docs.select("text").mapInArrow(lean(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counted.orderBy(F.col("n").desc(), "word").limit(most).select("word").collect()]
+    return counted.orderBy(F.col("n").desc(), "word").limit(most).select("word").toArrow()["word"].to_pylist()
 
 
 def encoded_words(tok, words: list[str], dtype: str) -> list[bytes]:
     """The ids of each word, as little-endian integers."""
-    return [np.array(x.ids, dtype).tobytes() for x in tok.encode_batch_fast(words, add_special_tokens=False)]
+    parts = (words[a : a + 10_000] for a in range(0, len(words), 10_000))  # the library's results are large
+    return [np.array(x.ids, dtype).tobytes() for part in parts for x in tok.encode_batch_fast(part, add_special_tokens=False)]
 
 
 def _tokenizer(source: str):
