@@ -194,7 +194,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     doc_id and text are read.  Null texts count as empty; null ids come first;
     rows of equal id are ordered by text; the last row is followed by the first.
-    An empty table gives no rows.
+    A very long text is sketched whole; columns other than doc_id and text, whatever
+    their names, are not read.  An empty table gives no rows.
 
     Rows are dealt to ranges of doc_id and sorted there; the first row of a range
     is sent to the range before too, so texts are shuffled once and no task sees

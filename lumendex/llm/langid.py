@@ -29,8 +29,6 @@ from .kernels import U, mix
 _LETTERS = re.compile(r"[^\W\d_]+")
 _BASE = (0x9E3779B97F4A7C15 | 3) & 0xFFFFFFFFFFFFFFFF
 _NGRAMS = (2, 3, 4)
-#: Word windows taken from each training text.
-WINDOWS = (3, 8, 20, 60)
 #: Distinct words a worker keeps the logits of.
 CACHE = 100_000
 
@@ -48,6 +46,8 @@ class Params:
     rate: float = 30.0
     #: Labelled rows per language that training reads at most.
     rows_per_language: int = 2000
+    #: Lengths in words of the windows that training takes of each of these rows; prediction reads whole texts.
+    windows: tuple[int, ...] = (3, 8, 20, 60)
     #: Part of held-back rows of known language that may be rejected.
     false_rejection: float = 0.001
     seed: int = 5
@@ -100,12 +100,12 @@ def subwords(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return hashed, np.concatenate(([0], np.cumsum(np.bincount(own_all, minlength=len(words)))))
 
 
-def windows_of(text: str, key: int) -> list[list[str]]:
+def windows_of(text: str, key: int, lengths: tuple[int, ...] = Params.windows) -> list[list[str]]:
     """Word windows of the text, at positions that `key` decides; a short text gives itself."""
     words = words_of(text)
     found, rng = [], np.random.default_rng(key)
-    for k in WINDOWS:
-        if words and (len(words) > k or not found or k == WINDOWS[-1]):
+    for k in lengths:
+        if words and (len(words) > k or not found or k == lengths[-1]):
             a = int(rng.integers(0, max(1, len(words) - k + 1)))
             found.append(words[a : a + k])
     return found
@@ -199,7 +199,7 @@ def train(docs: DataFrame, params: Params | None = None) -> Model:
             ids, langs, keys, pieces = [], [], [], []
             for d, lang, text in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
                 key = zlib.crc32(str(d).encode())
-                for p in windows_of(text, key):
+                for p in windows_of(text, key, params.windows):
                     ids.append(d)
                     langs.append(lang)
                     keys.append(key)
@@ -256,9 +256,11 @@ class Scorer:
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """`docs` with lang_pred, lang_score and rejected.
 
-    Only `text` is read; other columns pass through, and columns with the added
-    names are replaced.  A text that is null or without a letter is `und` with
-    score 0 and rejected; a model without languages calls every text so.
+    Only `text` is read, whole however long; other columns pass through whatever
+    their names, but columns with the added names are replaced.  A text that is null,
+    empty or without a letter is `und` with score 0 and rejected; a model without
+    languages calls every text so.  Of equally likely languages the first by code
+    point counts; repeated rows get equal results; an empty table gives no rows.
     """
     ship(docs.sparkSession)
     docs = docs.drop("lang_pred", "lang_score", "rejected")

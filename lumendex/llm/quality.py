@@ -233,8 +233,10 @@ def train(docs: DataFrame, labels: DataFrame, params: Params | None = None) -> M
 def classify(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """`docs` with score and predicted.
 
-    Only `text` is read; other columns pass through, and columns with the added
-    names are replaced.  A null text scores as an empty one.
+    Only `text` is read, whole however long; other columns pass through whatever
+    their names, but columns with the added names are replaced.  A null text scores
+    as an empty one; repeated rows and equal texts score alike; an empty table gives
+    no rows.
     """
     ship(docs.sparkSession)
     docs = docs.drop("score", "predicted")

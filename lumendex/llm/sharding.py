@@ -50,7 +50,9 @@ def assign(docs: DataFrame, shards: int = 16, rounds: int = 4) -> DataFrame:
     size is the UTF-8 bytes of the text plus 1 (null: 1); text_crc32 that of the
     text (null as empty).  Row counts of shards differ by one at most; slots are
     gapless from 0 in each shard.  Null texts are one group, empty ones another;
-    repeated rows are placed one by one; an empty table gives no rows.
+    repeated rows are placed one by one; ties go by text hash and doc_id; a very long
+    text counts its size only; columns other than doc_id and text, whatever their
+    names, are not read; an empty table gives no rows.
     """
     text = F.col("text")
     slim = docs.select(
