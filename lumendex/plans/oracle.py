@@ -68,14 +68,14 @@ _KEYED = f"""{_ASSETS}, keyed AS (
 ), early AS (SELECT * FROM exact UNION ALL SELECT * FROM capture)"""
 
 _TAKEN = f"""{_LISTED}, taken AS (
-  SELECT id, mtime, CASE id % 6 WHEN 0 THEN replace(exif_date, '-', ':') WHEN 1 THEN exif_date[1:10] WHEN 2 THEN exif_date || ':x' WHEN 3 THEN 'x-' || exif_date
+  SELECT id, mtime, CASE id % 6 WHEN 0 THEN replace(exif_date, '-', ':') WHEN 1 THEN exif_date[1:10] WHEN 2 THEN exif_date || ':x' WHEN 5 THEN exif_date[1:11] || '12:-5:00' WHEN 3 THEN 'x-' || exif_date
     WHEN 4 THEN replace(exif_date, '2024', '1969') ELSE exif_date END AS taken FROM listed
 ), tokens AS (SELECT *, list_filter(regexp_split_to_array(taken, '\\s+'), lambda x: x <> '') AS t FROM taken)"""
 
 
 def _seconds(t: str) -> str:
     d = f"list_transform(list_filter(regexp_split_to_array({t}[1], '[:-]'), lambda x: regexp_full_match(x, '[+]?[0-9]{{1,18}}')), lambda x: x::BIGINT)"
-    h = f"list_transform(list_filter(regexp_split_to_array({t}[2], ':'), lambda x: regexp_full_match(x, '[+]?[0-9]{{1,18}}')), lambda x: x::BIGINT)"
+    h = f"list_transform(list_filter(regexp_split_to_array({t}[2], ':'), lambda x: regexp_full_match(x, '[+-]?[0-9]{{1,18}}')), lambda x: x::BIGINT)"
     days = f"(({d})[1] * 365 + ({d})[1] // 4 + ({d})[2] * 31 + ({d})[3])"
     return f"CASE WHEN len({t}) >= 2 AND len({d}) >= 3 AND len({h}) >= 3 THEN {days} * 86400 + ({h})[1] * 3600 + ({h})[2] * 60 + ({h})[3] END"
 
@@ -100,10 +100,12 @@ _LISTING = f"""{_LISTED}, listing AS (
   UNION ALL SELECT id, source_id, path || '.new.jpg', size, mtime FROM files WHERE id % 23 = 0
 )"""
 
-_PACK = """plans AS (
-  SELECT sha256, path AS source, '/pack/' || sha256[1:2] || '/' || sha256 || '.' || ext AS target, regexp_extract(path, '[^/]+$') AS original_filename, format, size, part
-  FROM (SELECT fl.*, fo.ext, part, row_number() OVER (PARTITION BY sha256, part ORDER BY path) AS rn FROM files fl JOIN f fo USING (format),
-    (VALUES (1), (2), (3)) parts(part) WHERE id % part = 0) WHERE rn = 1
+_PACK = """states AS (
+  SELECT 'now' AS state, sha256, path, format, size FROM files
+  UNION ALL SELECT 'before', CASE WHEN id % 3 = 0 THEN sha256(sha256 || '-before') ELSE sha256 END, path, format, size + CASE WHEN id % 2 = 0 THEN 7 ELSE 0 END FROM files
+), plans AS (
+  SELECT state, sha256, path AS source, '/pack/' || sha256[1:2] || '/' || sha256 || '.' || ext AS target, regexp_extract(path, '[^/]+$') AS original_filename, format, size
+  FROM (SELECT s.*, fo.ext, row_number() OVER (PARTITION BY state, sha256 ORDER BY path) AS rn FROM states s JOIN f fo USING (format)) WHERE rn = 1
 )"""
 
 SQL = {
@@ -151,10 +153,11 @@ SQL = {
       (SELECT count(DISTINCT id) FROM members JOIN best USING (group_id) WHERE id <> sot) AS duplicates FROM files""",
     "source_stats": f"WITH {_LISTED} SELECT source_id, count(*) AS photo_count, sum(size)::BIGINT AS total_size FROM listed GROUP BY source_id",
     "sources_report": f"""WITH {_LISTED}, s AS (SELECT DISTINCT source_id AS id FROM listed),
-      t AS (SELECT source_id, count(*) AS n, sum(size)::BIGINT AS z FROM listed WHERE source_id % 5 <> 0 GROUP BY source_id)
+      t AS (SELECT source_id, count(*) AS n, sum(size)::BIGINT AS z FROM listed GROUP BY source_id)
       SELECT id, 'src' || (id - 1) AS name, coalesce(n, 0) AS photo_count, {_human("coalesce(z, 0)")} AS size,
         CASE WHEN id % 3 = 0 THEN 'never' ELSE strftime(TIMESTAMP '1970-01-01 00:00:00' + to_seconds(1700000000 + id), '%Y-%m-%d %H:%M:%S') END AS last_scanned
-      FROM s LEFT JOIN t ON t.source_id = s.id""",
+      FROM s LEFT JOIN t ON t.source_id = s.id
+      UNION ALL SELECT id + 1000, 'src' || (id - 1) || '-new', 0, '0 B', 'never' FROM s""",
     "files_report": f"""WITH {_STORED} SELECT id, regexp_extract(path, '[^/]+$') AS name, CASE WHEN source_id % 4 = 0 THEN '?' ELSE 'src' || (source_id - 1) END AS source, format,
       {_human("size")} AS size, group_id::VARCHAR AS group_id, CASE WHEN is_sot THEN 'Best Copy' WHEN NOT is_sot THEN 'Duplicate' ELSE 'Unique' END AS role, coalesce(is_sot, true) AS eligible, path FROM roles""",
     "group_listing": f"""WITH {_STORED} SELECT group_id, 'Certain' AS confidence, count(*) AS members, sum(size)::BIGINT AS total_size, max(path) FILTER (id = sot) AS best
@@ -164,7 +167,7 @@ SQL = {
     "grouped_photos": f"""WITH {_STORED} SELECT group_id, 'Certain' AS confidence, photo_id, path, exif_date AS taken FROM members""",
     "metadata_present": f"WITH {_LISTED} SELECT id, exif_date IS NOT NULL OR exif_camera_model IS NOT NULL AS present FROM listed",
     "export_selection": f"WITH {_STORED} SELECT id, path FROM roles WHERE coalesce(is_sot, true)",
-    "content_paths": f"WITH {_LISTED}, {_PACK} SELECT sha256, source, target, original_filename FROM plans WHERE part = 1",
+    "content_paths": f"WITH {_LISTED}, {_PACK} SELECT sha256, source, target, original_filename FROM plans WHERE state = 'now'",
     "export_paths": f"""WITH {_LISTED}, d AS (SELECT *, coalesce(strptime(exif_date, '%Y-%m-%d %H:%M:%S'), {_STAMP}) AS day FROM files)
       SELECT id, path AS source, '/export/' || strftime(day, '%Y/%m/%d') || '/' || doc_id || '.heic' AS target FROM d""",
     "incremental_changed": f"""WITH {_LISTING} SELECT l.path, l.mtime FROM listing l LEFT JOIN files k ON k.path = l.path WHERE l.mtime IS DISTINCT FROM k.mtime""",
@@ -178,12 +181,12 @@ SQL = {
       SELECT (SELECT count(*) FROM files) - (SELECT count(*) FROM gone) AS photos, (SELECT count(DISTINCT group_id) FROM kept) AS groups, (SELECT count(*) FROM kept) AS members""",
     "invalidate_hashes": f"WITH {_LISTED} SELECT id, NULL::VARCHAR AS phash, NULL::VARCHAR AS dhash, 0::BIGINT AS mtime FROM listed",
     "manifest_replace": f"""WITH {_LISTED}, {_PACK}, inc AS (
-        SELECT sha256, regexp_extract(path, '[^/]+$') AS original_filename, format, size, row_number() OVER (PARTITION BY sha256 ORDER BY id DESC) AS rn FROM files WHERE id % 2 = 0)
+        SELECT sha256, regexp_extract(path, '[^/]+$') AS original_filename, format, size, row_number() OVER (PARTITION BY sha256 ORDER BY id DESC) AS rn FROM files)
       SELECT sha256, original_filename, format, size FROM inc WHERE rn = 1
-      UNION ALL SELECT sha256, original_filename, format, size FROM plans WHERE part = 3 AND sha256 NOT IN (SELECT sha256 FROM inc)""",
+      UNION ALL SELECT sha256, original_filename, format, size FROM plans WHERE state = 'before' AND sha256 NOT IN (SELECT sha256 FROM inc)""",
     "manifest_cleanup": f"""WITH {_LISTED}, {_PACK}
-      SELECT sha256, target, 'remove' AS action FROM plans WHERE part = 3 AND sha256 NOT IN (SELECT sha256 FROM plans WHERE part = 2)
-      UNION ALL SELECT sha256, target, 'add' FROM plans WHERE part = 2 AND sha256 NOT IN (SELECT sha256 FROM plans WHERE part = 3)""",
+      SELECT sha256, target, 'remove' AS action FROM plans WHERE state = 'before' AND sha256 NOT IN (SELECT sha256 FROM plans WHERE state = 'now')
+      UNION ALL SELECT sha256, target, 'add' FROM plans WHERE state = 'now' AND sha256 NOT IN (SELECT sha256 FROM plans WHERE state = 'before')""",
     "human_sizes": f"""WITH {_LISTED}, z AS (SELECT id, CASE id % 4 WHEN 0 THEN id WHEN 1 THEN id * 1000 + 77 WHEN 2 THEN id * 1234567 ELSE id * 987654321 END AS s FROM listed)
       SELECT id, {_human("s")} AS text FROM z""",
 }

@@ -30,6 +30,16 @@ def _sources(photos: DataFrame) -> DataFrame:
     return photos.select(F.col("source_id").alias("id")).distinct().select("id", path.alias("path"), scanned.cast("long").alias("last_scanned"))
 
 
+def _idle(photos: DataFrame) -> DataFrame:
+    """Beside every source one that has no photos yet."""
+    return _sources(photos).withColumn("id", F.col("id") + 1000).withColumn("path", F.concat("path", F.lit("-new"))).withColumn("last_scanned", F.lit(None).cast("long"))
+
+
+def _orphaned(photos: DataFrame) -> DataFrame:
+    """All photos, those of every fourth source under an id that no source has."""
+    return photos.withColumn("source_id", F.when(F.col("source_id") % 4 == 0, F.col("source_id") + 1000).otherwise(F.col("source_id")))
+
+
 def _stored(photos: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Groups and members of equal content, numbered by least id."""
     found = matching.exact_groups(photos)
@@ -84,6 +94,7 @@ def _date_texts(spark: SparkSession, sf: str) -> DataFrame:
     n, d = F.col("id") % 6, F.col("exif_date")
     text = (
         F.when(n == 0, F.translate(d, "-", ":")).when(n == 1, F.substring(d, 1, 10)).when(n == 2, F.concat(d, F.lit(":x")))
+        .when(n == 5, F.concat(F.substring(d, 1, 11), F.lit("12:-5:00")))
         .when(n == 3, F.concat(F.lit("x-"), d)).when(n == 4, F.replace(d, F.lit("2024"), F.lit("1969"))).otherwise(d)
     )
     return _photos(spark, sf).select("id", "mtime", text.alias("taken"))
@@ -168,13 +179,13 @@ def source_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sources_report(spark: SparkSession, sf: str) -> DataFrame:
-    photos = _photos(spark, sf)
-    return reports.sources_report(_sources(photos), photos.filter(F.col("source_id") % 5 != 0))
+    photos = saved(_photos(spark, sf), "photos")
+    return reports.sources_report(_sources(photos).unionByName(_idle(photos)), photos)
 
 
 def files_report(spark: SparkSession, sf: str) -> DataFrame:
     photos = saved(_photos(spark, sf), "photos")
-    found = reports.files_report(_sources(photos).filter("id % 4 <> 0"), photos, *_stored(photos))
+    found = reports.files_report(_sources(photos), _orphaned(photos), *_stored(photos))
     return reports.ordered_files(found).withColumn("group_id", F.col("group_id").cast("string"))
 
 
@@ -248,21 +259,26 @@ def invalidate_hashes(spark: SparkSession, sf: str) -> DataFrame:
     return dml.reset_mtimes(dml.clear_hashes(_photos(spark, sf))).select("id", *_text("phash", "dhash"), "mtime")
 
 
+def _packed_before(photos: DataFrame) -> DataFrame:
+    """All photos as they were at an earlier pack: some with another content since, some in another format."""
+    other = F.when(F.col("id") % 3 == 0, F.sha2(F.concat(F.col("sha256"), F.lit("-before")).cast("binary"), 256)).otherwise(F.col("sha256"))
+    return photos.withColumn("sha256", other).withColumn("size", F.col("size") + F.when(F.col("id") % 2 == 0, 7).otherwise(0))
+
+
 def _manifest(photos: DataFrame) -> DataFrame:
-    """One entry per content of a part of the photos."""
-    plan = archive.pack_plan(photos.filter("id % 3 = 0"), "/pack")
-    return plan.select("sha256", "original_filename", "format", "size")
+    """One entry per content of the earlier pack."""
+    return archive.pack_plan(_packed_before(photos), "/pack").select("sha256", "original_filename", "format", "size")
 
 
 def manifest_replace(spark: SparkSession, sf: str) -> DataFrame:
     photos = saved(_photos(spark, sf), "photos")
-    incoming = photos.filter("id % 2 = 0").select("sha256", paths.file_name(F.col("path")).alias("original_filename"), "format", "size", F.col("id").alias("seq"))
+    incoming = photos.select("sha256", paths.file_name(F.col("path")).alias("original_filename"), "format", "size", F.col("id").alias("seq"))
     return dml.replace_files(_manifest(photos), incoming)
 
 
 def manifest_cleanup(spark: SparkSession, sf: str) -> DataFrame:
     photos = saved(_photos(spark, sf), "photos")
-    plan, manifest = archive.pack_plan(photos.filter("id % 2 = 0"), "/pack"), _manifest(photos)
+    plan, manifest = archive.pack_plan(photos, "/pack"), _manifest(photos)
     gone = archive.stale_files(manifest, plan, "/pack").select("sha256", "target", F.lit("remove").alias("action"))
     return gone.unionByName(archive.missing_entries(manifest, plan).select("sha256", "target", F.lit("add").alias("action")))
 
