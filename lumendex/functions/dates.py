@@ -19,8 +19,8 @@ def _tokens(text: Column) -> Column:
 
 
 def _numbers(token: Column, separators: str) -> Column:
-    """The whole numbers between separators; other parts are left out."""
-    parts = F.filter(F.split(token, separators), lambda x: x.rlike("^[+]?[0-9]{1,18}$"))
+    """The whole numbers between separators, with a sign or without; other parts are left out."""
+    parts = F.filter(F.split(token, separators), lambda x: x.rlike("^[+-]?[0-9]{1,18}$"))
     return F.transform(parts, lambda x: x.cast("long"))
 
 
