@@ -133,6 +133,7 @@ class Catalogue:
         owned = listed.join(listed.groupBy("path").agg(F.max("source_id").alias("source_id")), ["path", "source_id"])
         known = photos.select("path", "source_id", F.col("mtime").alias("_old"))
         work = owned.join(known, ["path", "source_id"], "left").filter(~F.col("_old").eqNullSafe(F.col("mtime"))).drop("_old")
+        work = saved(work, "scan-work")
         fresh = saved(media.fingerprint(work), "scan-fresh")
         progress("fingerprinted", {"files": fresh.count()})
         fresh = saved(self._hashed(fresh, photos, stale, progress), "scan-hashed")
@@ -300,7 +301,8 @@ class Catalogue:
         ]
         new = done.filter("status = 'copied'").unionByName(archive.missing_entries(manifest, done.filter("status = 'skipped'")))
         merged = saved(dml.replace_files(manifest, new.select(*entry)), "pack-manifest")
-        gone = saved(effects.delete_files(archive.stale_files(merged, plan, root)), "pack-gone")
+        stale = saved(archive.stale_files(merged, plan, root), "pack-stale")
+        gone = saved(effects.delete_files(stale), "pack-gone")
         store.commit(files=merged.join(gone.select("sha256"), "sha256", "left_anti"))
         counts = {r["status"]: r["count"] for r in done.groupBy("status").count().collect()}
         result = {"copied": counts.get("copied", 0), "skipped": counts.get("skipped", 0), "removed": gone.filter("status = 'removed'").count()}
@@ -308,17 +310,22 @@ class Catalogue:
         return result
 
     def export(self, path: str, quality: int = 85, encoder: effects.Encoder | None = None, progress: Progress = _silent) -> dict[str, int]:
-        """Convert every photo to keep into a dated folder; existing targets are skipped, failures left out of the counts."""
+        """Convert every photo to keep into a dated folder; existing targets are skipped, failures left out of the counts.
+
+        Of photos with one target the first by id is converted, and the others count as skipped.
+        """
         if not os.path.isdir(path):
             raise ExportPathNotFound(path)
         encoder = encoder or effects.find_encoder()
         plan = archive.export_plan(archive.selected(self.photos(), self.groups(), self.members()), os.path.realpath(path))
-        plan = plan.groupBy("target").agg(F.min(F.struct("id", "source")).alias("r")).select("r.*", "target")  # equal names of a day share a place
+        first = F.min(F.struct("id", "source")).alias("r")
+        plan = plan.groupBy("target").agg(first, F.count(F.lit(1)).alias("n")).select("r.*", "target", "n")  # equal names of a day share a place
         plan = saved(plan, "export-plan")
         progress("export", {"total": plan.count()})
         done = saved(effects.convert_files(plan, encoder, quality), "export-done")
-        counts = {r["status"]: r["count"] for r in done.groupBy("status").count().collect()}
-        result = {"converted": counts.get("copied", 0), "skipped": counts.get("skipped", 0)}
+        counts = {r["status"]: (r["first"], r["all"]) for r in done.groupBy("status").agg(F.count(F.lit(1)).alias("first"), F.sum("n").alias("all")).collect()}
+        made, there = counts.get("copied", (0, 0)), counts.get("skipped", (0, 0))
+        result = {"converted": made[0], "skipped": there[1] + made[1] - made[0]}
         progress("exported", result)
         return result
 

@@ -100,6 +100,17 @@ def broadcast_if_small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+def spread(files: DataFrame, files_each: int = 500, bytes_each: int = 1 << 28) -> DataFrame:
+    """A table of files dealt to as many tasks as the files need, by their number and, where it has one, its column `size`.
+
+    Adaptive plans merge partitions by the bytes of rows, so work on the files behind
+    short rows would end in a few tasks; a number given to repartition stays.
+    """
+    size = F.sum("size") if "size" in files.columns else F.lit(0)
+    n, total = files.agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
+    return files.repartition(max(1, total // bytes_each, n // files_each, min(n, files.sparkSession.sparkContext.defaultParallelism)))
+
+
 def dense_ids(df: DataFrame, order: list[str], name: str, start: int = 1) -> DataFrame:
     """`df` with ids from `start` without gaps, in the order of `order`.
 

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..errors import ConversionFailed, EncoderNotAvailable
-from ..runtime import ship
+from ..runtime import ship, spread
 
 Encoder = Callable[[str, str, int], None]
 
@@ -33,14 +33,14 @@ def _new_file(target: str, make: Callable[[str], None]) -> str:
     return "copied"
 
 
-def _run(plan: DataFrame, act: Callable[[str, str], str]) -> DataFrame:
+def _run(plan: DataFrame, act: Callable[[str, str], str], files_each: int = 500) -> DataFrame:
     ship(plan.sparkSession)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield frame.assign(status=[act(s, t) for s, t in zip(frame["source"], frame["target"], strict=True)])
 
-    return plan.mapInPandas(work, ", ".join(f"`{n}` {t}" for n, t in plan.dtypes) + ", status string")
+    return spread(plan, files_each).mapInPandas(work, ", ".join(f"`{n}` {t}" for n, t in plan.dtypes) + ", status string")
 
 
 def copy_files(plan: DataFrame) -> DataFrame:
@@ -82,4 +82,4 @@ def encode_with(name: str, source: str, target: str, quality: int) -> None:
 
 def convert_files(plan: DataFrame, encoder: Encoder, quality: int = 85) -> DataFrame:
     """`plan` (source, target, ...) with status copied (converted), skipped or failed."""
-    return _run(plan, lambda s, t: _new_file(t, lambda temp: encoder(s, temp, quality)))
+    return _run(plan, lambda s, t: _new_file(t, lambda temp: encoder(s, temp, quality)), files_each=50)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,13 +11,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import ship
+from ..runtime import ship, spread
 from ..schema import hashable
 from . import exif, pixels
 
 CHUNK = 1 << 16
-#: Bytes of a file in which metadata is looked for.
-HEADER = 1 << 22
 _EXIF = "exif_date string, exif_camera_make string, exif_camera_model string, exif_gps_lat double, exif_gps_lon double, exif_width int, exif_height int"
 
 
@@ -32,13 +31,17 @@ def sha256_of(path: str) -> str | None:
     return digest.hexdigest()
 
 
-def _header(path: str) -> bytes:
-    with open(path, "rb") as f:
-        return f.read(HEADER)
+def metadata_of(path: str) -> exif.Exif | None:
+    """Capture data of a file; None if it has none, or is damaged."""
+    try:
+        with open(path, "rb") as f:
+            return exif.read(f)
+    except (OSError, ValueError, IndexError, struct.error):
+        return None
 
 
-def fingerprint(files: DataFrame, partitions: int | None = None) -> DataFrame:
-    """`files` (path, ...) with sha256, capture data and orientation; files that cannot be read are left out."""
+def fingerprint(files: DataFrame) -> DataFrame:
+    """`files` (path, size, ...) with sha256, capture data and orientation; files that cannot be read are left out."""
     ship(files.sparkSession)
     schema = ", ".join(f"`{n}` {t}" for n, t in files.dtypes) + f", sha256 string, {_EXIF}, orientation int"
 
@@ -47,19 +50,12 @@ def fingerprint(files: DataFrame, partitions: int | None = None) -> DataFrame:
         for frame in frames:
             frame = frame.assign(sha256=[sha256_of(p) for p in frame["path"]])
             frame = frame[frame["sha256"].notna()]
-            found = []
-            for path in frame["path"]:
-                try:
-                    data = exif.read(_header(path))
-                except (OSError, ValueError, IndexError):
-                    data = None
-                found.append(data or exif.Exif())
+            found = [metadata_of(p) or exif.Exif() for p in frame["path"]]
             for i, name in enumerate(names):
                 frame[name] = pd.Series([x[i] for x in found], index=frame.index, dtype=object)
             yield frame
 
-    spread = files.repartition(partitions) if partitions else files
-    return spread.mapInPandas(run, schema)
+    return spread(files).mapInPandas(run, schema)
 
 
 def perceptual_hashes(spark: SparkSession, leaders: DataFrame) -> DataFrame:

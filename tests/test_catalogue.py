@@ -122,6 +122,39 @@ def test_source_errors(spark, library, tmp_path):
             c.add_source(path)
 
 
+def test_heif_joins_the_group_of_its_capture(spark, tmp_path):
+    block = images.tiff_block()
+    images.save(spark, images.gradient(10), tmp_path / "plain.jpg", "jpg")
+    (tmp_path / "a.jpg").write_bytes(images.with_exif((tmp_path / "plain.jpg").read_bytes(), block))
+    (tmp_path / "plain.jpg").unlink()
+    shutil.copy(tmp_path / "a.jpg", tmp_path / "b.jpg")
+    (tmp_path / "c.heic").write_bytes(images.heif(block))
+    (tmp_path / "d.heic").write_bytes(images.heif(images.tiff_block(date="2023:01:01 00:00:00")))
+    c = Catalogue.temporary(spark)
+    c.add_source(str(tmp_path))
+    c.scan()
+    assert [names for names, *_ in groups(c)] == [["a.jpg", "b.jpg", "c.heic"]]
+
+
+def test_export_counts_photos_of_one_target(spark, tmp_path):
+    for folder, base in (("x", 10), ("y", 90), ("z", 170)):
+        (tmp_path / "in" / folder).mkdir(parents=True)
+        images.save(spark, images.checkers(4 + base // 20, (base, 0, 0), (0, 255, base)), tmp_path / "in" / folder / "same.png", "png")
+        os.utime(tmp_path / "in" / folder / "same.png", (1e9, 1e9))
+    (tmp_path / "out").mkdir()
+    c = Catalogue.temporary(spark)
+    c.add_source(str(tmp_path / "in"))
+    c.scan()
+    n = c.photos().count() - c.members().count() + c.groups().count()
+    assert n > 1
+
+    def copy(source, target, quality):
+        shutil.copy(source, target)
+
+    assert c.export(str(tmp_path / "out"), encoder=copy) == {"converted": 1, "skipped": n - 1}
+    assert c.export(str(tmp_path / "out"), encoder=copy) == {"converted": 0, "skipped": n}
+
+
 def test_pack_and_export(spark, library, tmp_path):
     one, two = library
     pack, out = tmp_path / "pack", tmp_path / "out"

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumendex.functions import hashing
+from lumendex.runtime import spread
 from lumendex.sources import exif, listing, media, pixels
 from tests import images
 
@@ -48,6 +49,38 @@ def test_exif(order):
         assert found[5:] == (8192, 5464, 6)
 
 
+@pytest.mark.parametrize(("version", "inside"), [(0, False), (1, False), (1, True), (2, False), (2, True)])
+def test_heif_exif(version, inside):
+    data = images.heif(images.tiff_block(">", turn=6), version, inside)
+    found = exif.read(data)
+    assert found[:3] == ("2024-01-15 12:00:00", "Canon", "EOS R5") and found[5:] == (8192, 5464, 6)
+    for cut in range(0, len(data), 5):
+        exif.read(data[:cut])
+    assert exif.read(images.box(b"ftyp", b"heic") + images.box(b"meta", b"\0\0\0\0")) is None
+
+
+def test_exif_far_into_files(tmp_path):
+    far = b"\0" * (5 << 20)
+    block = images.tiff_block()
+    png = b"\x89PNG\r\n\x1a\n" + struct.pack(">I", len(far)) + b"IDAT" + far + b"\0" * 4 + struct.pack(">I", len(block)) + b"eXIf" + block
+    # the same directory, moved behind the data: all places in it move too
+    moved = images.tiff_block(base=8 + len(far))
+    tiff = moved[:4] + struct.pack("<I", 8 + len(far)) + far + moved[8:]
+    for name, data in (("a.png", png), ("a.tiff", tiff), ("a.heic", images.heif(block, lead=far))):
+        (tmp_path / name).write_bytes(data)
+        assert media.metadata_of(str(tmp_path / name))[:3] == ("2024-01-15 12:00:00", "Canon", "EOS R5"), name
+    (tmp_path / "bad.tiff").write_bytes(b"II*\0\xff\xff\xff\xff")
+    assert media.metadata_of(str(tmp_path / "bad.tiff")) is None and media.metadata_of(str(tmp_path / "none")) is None
+
+
+def test_work_on_files_is_spread(spark):
+    rows = spark.range(4000).select(F.col("id"), F.lit(1 << 24).alias("size"))
+    merged = rows.join(rows.select("id"), "id")  # short rows, which an adaptive plan merges
+    assert spread(merged).rdd.getNumPartitions() == (4000 << 24) >> 28
+    assert spread(merged.drop("size"), 50).rdd.getNumPartitions() == 80
+    assert spread(rows.limit(0)).rdd.getNumPartitions() == 1
+
+
 @pytest.mark.parametrize("data", [b"", b"not a picture", b"\xff\xd8\xff\xd9", b"\xff\xd8\xff\xe1\xff\xff", b"II*\0\xff\xff\xff\xff", b"II*\0"])
 def test_no_exif(data):
     assert exif.read(data) is None
