@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import lean, saved, ship, widened
+from ..runtime import broadcast_if_small, lean, saved, ship, widened
 from .kernels import U, mix
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -174,17 +174,23 @@ def fit(pieces: list[list[str]], labels: list[str], test: np.ndarray, params: Pa
 
 
 def sample(docs: DataFrame, params: Params) -> DataFrame:
-    """doc_id, lang of the training rows: at most about rows_per_language of each language, by hash.
+    """doc_id, lang of the training rows: at most rows_per_language of each language, those of the least hashes.
 
-    A language's rows are dealt to salts that each keep their part of the bound, so
-    a language with most of the rows is not one task.
+    A language's rows are dealt to salts that each keep their part of the bound.  A
+    count of rows by language gives the hash below which that part lies almost surely
+    (eight standard deviations), so that only some rows more than the bound are
+    ranked, however many rows a language has.
     """
     salts = 16
+    each = params.rows_per_language // salts
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     rows = rows.select("doc_id", "lang").withColumn("h", F.xxhash64(F.lit(11), "doc_id"))
+    counts = saved(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "lang-counts")
+    share = F.lit(salts * (each + 8 * each**0.5 + 16)) / F.col("n")
+    rows = rows.join(broadcast_if_small(counts), "lang").filter(F.col("h") / F.lit(2.0**64) + 0.5 < share)
     rows = rows.withColumn("s", F.pmod("h", F.lit(salts)))
     rank = F.row_number().over(Window.partitionBy("lang", "s").orderBy("h", "doc_id"))
-    return rows.withColumn("r", rank).filter(F.col("r") <= params.rows_per_language // salts).select("doc_id", "lang").distinct()
+    return rows.withColumn("r", rank).filter(F.col("r") <= each).select("doc_id", "lang").distinct()
 
 
 def train(docs: DataFrame, params: Params | None = None) -> Model:
@@ -209,7 +215,9 @@ def train(docs: DataFrame, params: Params | None = None) -> Model:
     got = cols.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").mapInArrow(lean(cut), "lang string, key long, piece string").toArrow()
     rows = sorted(zip(got["key"].to_pylist(), got["lang"].to_pylist(), got["piece"].to_pylist(), strict=True))
     rows = [r for r in rows if r[2]]
-    return fit([r[2].split(" ") for r in rows], [r[1] for r in rows], np.array([r[0] // 5 % 8 == 0 for r in rows], dtype=bool), params)
+    same: dict[str, str] = {}  # equal words are one object
+    pieces = [[same.setdefault(w, w) for w in r[2].split(" ")] for r in rows]
+    return fit(pieces, [r[1] for r in rows], np.array([r[0] // 5 % 8 == 0 for r in rows], dtype=bool), params)
 
 
 class Scorer:
