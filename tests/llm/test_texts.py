@@ -170,6 +170,57 @@ def test_search(spark, shard_rows):
     assert search.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+def _shard_of(texts: list[str], mean: float):
+    import pyarrow as pa
+
+    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 7]
+    row = search._packed(np.arange(len(texts)), np.zeros(len(texts), bool), [search.term_lists(pa.array(texts))])
+    names = [c.split(" ")[0] for c in search._INDEX.split(", ")]
+    batch = pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names)
+    return search.Shard(batch, 0, mean, np.zeros(0, np.int64))
+
+
+def test_search_rescores_few_under_a_low_threshold(monkeypatch):
+    """A threshold that lets every document pass does not have every one scored again in double precision."""
+    import pyarrow as pa
+
+    texts = ["w " * (i % 50 + 1) + f"x{i}" for i in range(400)]
+    mean = sum(len(t.split()) for t in texts) / len(texts)
+    shard = _shard_of(texts, mean)
+    terms, counts, _, _ = search.term_lists(pa.array(["w w w x7"]))
+    rows = pa.table({"id": [20], "terms": [terms.tolist()], "counts": [counts.tolist()], "weights": [[1.5] * len(terms)]})
+    queries = search.Queries(rows, np.zeros(0, np.int64), np.zeros(0, np.int64))
+    queries.prepare()
+    scored, exact = [], search.Shard._exact
+    monkeypatch.setattr(search.Shard, "_exact", lambda self, doc, *a: scored.append(doc) or exact(self, doc, *a))
+    found = [(int(shard.ids[d]), s) for _, docs, score in shard.top(queries, np.array([1e-6]), 10) for d, s in zip(docs, score, strict=True)]
+
+    def bm25(i):
+        bag = Counter(texts[i].split())
+        norm = 1.2 * (0.25 + 0.75 * sum(bag.values()) / mean)
+        return sum(1.5 * k * bag[w] * 2.2 / (bag[w] + norm) for w, k in (("w", 3), ("x7", 1)) if w in bag)
+
+    want = sorted(range(400), key=lambda i: (-round(bm25(i), 9), i))[:10]
+    assert [i for i, _ in sorted(found, key=lambda x: (-round(x[1], 9), x[0]))] == want
+    assert all(s == pytest.approx(bm25(i)) for i, s in found)
+    assert len(scored) < 40  # equal scores pass together: 8 documents of each length
+
+
+def test_search_query_rows_of_equal_id(spark):
+    """Query rows of one id are one query of all their words, and documents that differ outside it rank by id."""
+    rows = [(20, "a b"), (20, "b c"), (1, "b b"), (2, "c d"), (5, "a y1 y2"), (4, "a z1 z2"), (3, "e f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["score"]) for r in search.top_k(df, F.col("doc_id") % 20 == 0).orderBy("query_id", "rank").collect()]
+    bags = [(i, Counter(t.split())) for i, t in rows]
+    df_, mean, asked = Counter(w for _, b in bags for w in b), sum(len(t.split()) for _, t in rows) / len(rows), Counter("abbc")
+    idf = {w: math.log(1 + (len(rows) - n + 0.5) / (n + 0.5)) for w, n in df_.items()}
+    want = [(i, sum(asked[w] * idf[w] * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * sum(b.values()) / mean)) for w, n in b.items())) for i, b in bags]
+    want = sorted(((i, s) for i, s in want if s > 0), key=lambda x: (-x[1], x[0]))
+    assert [s for _, s in got] == pytest.approx([s for _, s in want])
+    assert [i for i, _ in got if i in (4, 5)] == [4, 5] and sorted(i for i, _ in got) == sorted(i for i, _ in want)
+    assert len({s for i, s in got if i in (4, 5)}) == 1
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     import public_tokenizers
