@@ -16,10 +16,10 @@ white space is one word, which the library then splits by its own tables.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,11 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import lean, ship, unused, widened
+from .kernels import hashes
 
 #: Frequent words that are broadcast, at most: some 25 bytes each.
 HEAD = 1_000_000
 #: Distinct words a task counts before it passes them on, and how often it must have met one to call it frequent.
 COUNTED, OFTEN = 300_000, 2
+#: Texts that are split at a time: their words are Python objects, some 60 bytes each.
+TEXTS = 250
 
 # The vocabulary's rules for splitting, and its special tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -68,6 +71,7 @@ class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             self.json = f.read()
+        self.name = hashlib.sha256(self.json.encode()).hexdigest()
         rules = json.loads(self.json)
         split = rules["pre_tokenizer"]["pretokenizers"][0]
         names = [x["type"] for x in rules["normalizer"]["normalizers"]]
@@ -84,7 +88,7 @@ _ready: dict = {}
 
 
 def _once(key: object, make):
-    """A worker's own copy of what `make` builds from a broadcast; the latest few only."""
+    """A worker's own copy of what `make` builds from a broadcast, by its content's name: one for all calls; the latest few only."""
     if key not in _ready:
         if len(_ready) > 3:
             _ready.clear()
@@ -99,11 +103,11 @@ def frequent_words(docs: DataFrame, most: int) -> list[str]:
         seen: Counter = Counter()
 
         def rows(least: int) -> Iterator[pa.RecordBatch]:
-            found = [(w, n) for w, n in seen.items() if n >= least]
+            words = pa.array([w for w, n in seen.items() if n >= least], pa.string())
+            counts = pa.array([n for n in seen.values() if n >= least], pa.int64())
             seen.clear()
-            for a in range(0, len(found), 50_000):
-                words, counts = zip(*found[a : a + 50_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(counts, pa.int64())], ["word", "n"])
+            for a in range(0, len(words), 50_000):
+                yield pa.RecordBatch.from_arrays([words[a : a + 50_000], counts[a : a + 50_000]], ["word", "n"])
 
         for b in batches:
             for text in b.column(0).to_pylist():
@@ -131,12 +135,17 @@ def _tokenizer(source: str):
 
 
 class Lookup:
-    """A bounded table of words as flat arrays, which are broadcast as they are; words are compared themselves, not hashes of them."""
+    """A bounded table of words as flat arrays, by hash, which are broadcast as they are: a worker builds nothing from them.
+
+    Words are compared themselves, not hashes of them alone; of words of equal hash the first is kept.
+    """
 
     def __init__(self, words: list[str], ids: list[bytes], dtype: str):
-        self.words = pa.array(words, pa.string())
-        self.size = np.array([len(x) for x in ids], np.int32) // np.dtype(dtype).itemsize
-        self.first = (np.cumsum(self.size) - self.size).astype(np.int32)  # bounded by HEAD words
+        column = pa.array(words, pa.string())
+        self.hashes, kept = np.unique(hashes(column), return_index=True)
+        self.words = column.take(pa.array(kept))
+        size = np.array([len(x) for x in ids], np.int32) // np.dtype(dtype).itemsize
+        self.size, self.first = size[kept], (np.cumsum(size) - size).astype(np.int32)[kept]  # bounded by HEAD words
         self.ids = np.frombuffer(b"".join(ids), dtype)
 
     def find(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,8 +153,13 @@ class Lookup:
         none = np.zeros(len(words), np.int64)
         if not len(self.words) or not words:
             return none.astype(bool), none, none
-        at = pc.fill_null(pc.index_in(pa.array(words, pa.string()), value_set=self.words), -1).to_numpy()
-        return at >= 0, self.first[at].astype(np.int64), np.where(at >= 0, self.size[at], 0).astype(np.int64)
+        found = pa.array(words, pa.string()).dictionary_encode()
+        distinct, each = found.dictionary, found.indices.to_numpy()
+        own = hashes(distinct)
+        at = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
+        have = (self.hashes[at] == own) & pc.equal(distinct, self.words.take(pa.array(at))).to_numpy(zero_copy_only=False)
+        first, size = self.first[at].astype(np.int64), np.where(have, self.size[at], 0).astype(np.int64)
+        return have[each], first[each], size[each]
 
     def gather(self, first: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The ids of words, one after the other."""
@@ -194,8 +208,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, head: int = HEAD, keep_text:
         """ids of the frequent words, and where, in words and in ids, others are missing."""
         look, pack = known.value, pa.Codec("zstd", compression_level=6)
         for whole in batches:
-            for a in range(0, whole.num_rows, 1000):
-                b = whole.slice(a, 1000)
+            for a in range(0, whole.num_rows, TEXTS):
+                b = whole.slice(a, TEXTS)
                 ends, _, have, first, size = _split(b, plain + 1, look)
                 upto = np.concatenate(([0], np.cumsum(size)))
                 gone = np.flatnonzero(~have)
@@ -215,15 +229,15 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, head: int = HEAD, keep_text:
         """(doc_id, h, at, word) of words that are not frequent; `at` is their place among the words."""
         look = known.value
         for whole in batches:
-            for a in range(0, whole.num_rows, 1000):
-                b = whole.slice(a, 1000)
+            for a in range(0, whole.num_rows, TEXTS):
+                b = whole.slice(a, TEXTS)
                 ends, words, have, _, _ = _split(b, 2, look)
                 gone = np.flatnonzero(~have)
                 doc = np.searchsorted(ends, gone, side="right") - 1
                 columns = [b.column(0).take(pa.array(doc)), b.column(1).take(pa.array(doc)), pa.array((gone - ends[doc]).astype(np.int32)), pa.array([words[i] for i in gone], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", h, at, "word"])
 
-    source, name = spark.sparkContext.broadcast(vocabulary.json), uuid.uuid4().hex
+    source, name = spark.sparkContext.broadcast(vocabulary.json), ("tokenizer", vocabulary.name)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def each_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +305,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, column: str = "ids") -> D
     spark = encoded.sparkSession
     ship(spark)
     encoded = encoded.drop("decoded")
-    pieces, name = spark.sparkContext.broadcast(vocabulary.pieces), uuid.uuid4().hex
+    pieces, name = spark.sparkContext.broadcast(vocabulary.pieces), ("pieces", vocabulary.name)
     at = encoded.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

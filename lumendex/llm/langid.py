@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import broadcast_if_small, lean, saved, ship, widened
+from ..runtime import broadcast_if_small, lean, release, saved, ship, widened
 from .kernels import U, mix
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -31,6 +31,8 @@ _BASE = (0x9E3779B97F4A7C15 | 3) & 0xFFFFFFFFFFFFFFFF
 _NGRAMS = (2, 3, 4)
 #: Distinct words a worker keeps the logits of.
 CACHE = 100_000
+#: Words that training hashes at a time: some 2 KB each meanwhile.
+HASHED = 10_000
 
 
 @dataclass
@@ -100,6 +102,16 @@ def subwords(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return hashed, np.concatenate(([0], np.cumsum(np.bincount(own_all, minlength=len(words)))))
 
 
+def _subwords_lean(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """As `subwords`, of many words: in less memory, with buckets of 32 bits."""
+    flat, size = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for a in range(0, len(words), HASHED):
+        hashed, offs = subwords(words[a : a + HASHED], buckets)
+        flat.append(hashed.astype(np.int32))
+        size.append(np.diff(offs))
+    return np.concatenate(flat), np.concatenate(([0], np.cumsum(np.concatenate(size))))
+
+
 def windows_of(text: str, key: int, lengths: tuple[int, ...] = Params.windows) -> list[list[str]]:
     """Word windows of the text, at positions that `key` decides; a short text gives itself."""
     words = words_of(text)
@@ -123,8 +135,9 @@ def fit(pieces: list[list[str]], labels: list[str], test: np.ndarray, params: Pa
         return Model([], np.zeros((params.buckets, 0), np.float32), np.zeros(0, np.float32))
     y = np.array([languages.index(x) for x in labels])
     known = {w: i for i, w in enumerate(dict.fromkeys(w for p in pieces for w in p))}
-    flat, offs = subwords(list(known), params.buckets)  # of the distinct words only
-    ids = [np.array([known[w] for w in p]) for p in pieces]
+    flat, offs = _subwords_lean(list(known), params.buckets)  # of the distinct words only
+    ids = [np.array([known[w] for w in p], np.int32) for p in pieces]
+    del known
     each = np.diff(offs)
 
     def gather(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -215,9 +228,16 @@ def train(docs: DataFrame, params: Params | None = None) -> Model:
     got = cols.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").mapInArrow(lean(cut), "lang string, key long, piece string").toArrow()
     rows = sorted(zip(got["key"].to_pylist(), got["lang"].to_pylist(), got["piece"].to_pylist(), strict=True))
     rows = [r for r in rows if r[2]]
+    del got
     same: dict[str, str] = {}  # equal words are one object
     pieces = [[same.setdefault(w, w) for w in r[2].split(" ")] for r in rows]
-    return fit(pieces, [r[1] for r in rows], np.array([r[0] // 5 % 8 == 0 for r in rows], dtype=bool), params)
+    labels, test = [r[1] for r in rows], np.array([r[0] // 5 % 8 == 0 for r in rows], dtype=bool)
+    del rows, same
+    release()
+    model = fit(pieces, labels, test, params)
+    del pieces
+    release()  # the driver's Python lives on
+    return model
 
 
 class Scorer:

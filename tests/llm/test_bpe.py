@@ -2,7 +2,9 @@
 
 import random
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lumendex.llm import bpe
@@ -78,3 +80,42 @@ def test_a_very_long_text_and_a_word_in_every_row(spark, library):
     assert len(got) == len(rows)
     for i, t in rows[::500] + rows[-1:]:
         assert got[i] == library.encode(t, add_special_tokens=False).ids
+
+
+def test_lookup_builds_no_table_of_its_words():
+    import numpy as np
+
+    words = [f"word{i}" for i in range(200_000)]
+    look = bpe.Lookup(words, [np.array([i], "<u4").tobytes() for i in range(len(words))], "<u4")
+    look.find(words[:2])  # what is made once
+    usual = pa.default_memory_pool()
+    watched = pa.proxy_memory_pool(usual)
+    pa.set_memory_pool(watched)
+    try:
+        known, first, size = look.find(["word7", "x", "word199999"])
+    finally:
+        pa.set_memory_pool(usual)
+    assert known.tolist() == [True, False, True] and look.gather(first, size).tolist() == [7, 199999]
+    assert watched.max_memory() < 1 << 20
+
+
+def test_lookup_tells_words_of_equal_hash_apart():
+    import numpy as np
+
+    look = bpe.Lookup(["\u6f22a", "\u6f22A", "b"], [np.array([i], "<u2").tobytes() for i in range(3)], "<u2")
+    known, first, size = look.find(["\u6f22A", "\u6f22a", "b", "B"])
+    assert known.tolist() == [False, True, True, False] and look.gather(first, size).tolist() == [0, 2]
+
+
+def test_workers_keep_one_tokenizer_over_calls(spark):
+    vocabulary = word_vocabulary()
+    for i in range(3):
+        rows = spark.createDataFrame([(j, f"odd{i}x{j}") for j in range(200)], "doc_id long, text string")
+        assert bpe.decode(bpe.encode(rows, vocabulary, head=1), vocabulary).count() == 200
+
+    def kept(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(bpe._ready)] * b.num_rows, pa.int32())], ["n"])
+
+    found = spark.range(64).repartition(64).mapInArrow(kept, "n int").agg(F.max("n")).first()[0]
+    assert 1 <= found <= 2

@@ -146,3 +146,18 @@ def test_secrets_edges(spark):
             assert not base(r["redacted"]), r
     assert secrets.scan(spark.createDataFrame([], "doc_id long, text string"), secrets.train(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
     assert secrets.redact("abcdef", [(1, 0, 4), (2, 2, 3), (3, 2, 5)]) == "a[SECRET]f"
+
+
+def test_language_training_hashes_words_in_parts():
+    import tracemalloc
+
+    words = [f"{chr(97 + i % 26)}{i:x}words" for i in range(60_000)]
+    pieces = [words[a : a + 50] for a in range(0, len(words), 50)]
+    labels, test = ["a" if i % 2 else "b" for i in range(len(pieces))], np.arange(len(pieces)) % 8 == 0
+    tracemalloc.start()
+    model = langid.fit(pieces, labels, test, langid.Params(epochs=1, least_steps=1))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.languages == ["a", "b"] and peak < 60 << 20
+    for x, y in zip(langid._subwords_lean(words, 1 << 15), langid.subwords(words, 1 << 15), strict=True):
+        assert (x == y).all()
