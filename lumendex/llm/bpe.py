@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import lean, ship, unused, widened
+from ..runtime import lean, release, ship, unused, widened
 from .kernels import hashes
 
 #: Frequent words that are broadcast, at most: some 25 bytes each.
@@ -93,6 +93,7 @@ def _once(key: object, make):
         if len(_ready) > 3:
             _ready.clear()
         _ready[key] = make()
+        release()  # building takes as much again
     return _ready[key]
 
 

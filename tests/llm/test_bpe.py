@@ -2,12 +2,15 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lumendex.llm import bpe
+from lumendex import runtime
+from lumendex.llm import bpe, kernels
 from lumendex.llm.queries import word_vocabulary
 
 SCHEMA = "doc_id long, text string, ids string, extra int"
@@ -119,3 +122,36 @@ def test_workers_keep_one_tokenizer_over_calls(spark):
 
     found = spark.range(64).repartition(64).mapInArrow(kept, "n int").agg(F.max("n")).first()[0]
     assert 1 <= found <= 2
+
+
+def test_a_task_leaves_no_batch_or_table_in_its_worker(spark, monkeypatch):
+    left = []
+    monkeypatch.setattr(runtime, "release", lambda: left.append(pa.total_allocated_bytes()))
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pc.add(b.column(0), 1)], ["x"])
+
+    source = pa.RecordBatch.from_arrays([pa.array(np.zeros(100_000, np.int64))], ["x"])
+    before = pa.total_allocated_bytes()
+    for b in runtime.lean(run)(source for _ in range(3)):
+        assert b.num_rows == 100_000
+        del b
+    work = runtime.lean(run)(iter([source, source]))
+    next(work)
+    work.close()  # a task that ends early
+    assert len(left) == 2 and all(size - before < 1 << 19 for size in left)
+
+    def hashed(batches):
+        for b in batches:
+            kernels.hashes(pa.array(["a"]))
+            yield b
+
+    def tables(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(kernels._POWERS)] * b.num_rows, pa.int64())], ["id"])
+
+    monkeypatch.undo()
+    runtime.ship(spark)
+    assert spark.range(64).repartition(64).mapInArrow(runtime.lean(hashed), "id long").count() == 64
+    assert spark.range(64).repartition(64).mapInArrow(tables, "id long").agg(F.max("id")).first()[0] == 0
