@@ -9,7 +9,8 @@ gaps.  What the driver and the workers hold does not grow with the corpus.
 Decoding joins ids to pieces of the vocabulary, a table of fixed size, by place.
 
 The split follows the vocabulary's own rules, so that encoding the words one by
-one gives what encoding the text gives.  Where a text has characters beyond
+one gives what encoding the text gives.  Texts are split many at a time, by the
+classes of their characters, into Arrow strings.  Where a text has characters beyond
 Latin Extended-A, whose classes and cases differ between Unicode versions, a run between ASCII
 white space is one word, which the library then splits by its own tables.
 """
@@ -22,6 +23,8 @@ import os
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +39,7 @@ from .kernels import hashes
 HEAD = 1_000_000
 #: Distinct words a task counts before it passes them on, and how often it must have met one to call it frequent.
 COUNTED, OFTEN = 300_000, 2
-#: Texts that are split at a time: their words are Python objects, some 60 bytes each.
+#: Texts that are split at a time: where they have odd characters, their words are Python objects, some 60 bytes each.
 TEXTS = 250
 
 # The vocabulary's rules for splitting, and its special tokens.
@@ -46,6 +49,9 @@ _L, _N, _S = "a-zªµºß-öø-ſ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
 _WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_L}{_N}{_S}]+")
 _WIDE = re.compile("[^\x00-ſ]|İ")
 _BLANK = re.compile("[\t-\r ]+")
+_SPACE, _LETTER, _DIGIT, _OTHER = range(4)
+#: The class of every character that a text split by _WORD alone can have.
+_CLASS = np.array([next((k for k, c in enumerate((_S, _L, _N)) if re.match(f"[{c}]", chr(i))), _OTHER) for i in range(0x180)], np.uint8)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -65,6 +71,61 @@ def words_of(text: str | None) -> list[str]:
     return [w for w in found if w]
 
 
+def _odd(text: str | None) -> bool:
+    """Whether a text needs words_of: it has a special token, or characters that not _CLASS has."""
+    if not text:
+        return False
+    if "<|" in text and SPECIAL.search(text):
+        return True
+    if text.isascii():
+        return False
+    return "İ" in text or int(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").max()) >= len(_CLASS)
+
+
+def _plain_words(texts: list[str | None]) -> tuple[np.ndarray, pa.Array]:
+    """words_of each text without odd characters: their numbers, and all words."""
+    lower = [(t or "").lower() for t in texts]
+    cells = np.frombuffer(("\n".join(lower) + "\n\n\n").encode("utf-16-le"), "<u2")  # white space after each, and room to look ahead
+    kind = _CLASS[cells]
+    kept = kind != _SPACE  # every character but white space belongs to a word
+    first = kept.copy()
+    first[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    # 's and the like where a run of other signs begins: the letters belong to it, and what follows is another word
+    mark = np.flatnonzero(cells == ord("'"))
+    mark = mark[first[mark]]
+    a, b = cells[mark + 1], cells[mark + 2]
+    short = np.isin(a, [ord(x) for x in "stmd"])
+    long = ((a == ord("r")) & (b == ord("e"))) | ((a == ord("v")) & (b == ord("e"))) | ((a == ord("l")) & (b == ord("l")))
+    first[mark[short | long] + 1] = False
+    after = np.concatenate((mark[short] + 2, mark[long] + 3))
+    first[after[kept[after]]] = True
+    start = np.flatnonzero(first)
+    text_ends = np.cumsum([len(t) + 1 for t in lower])
+    n = np.diff(np.searchsorted(start, np.concatenate(([0], text_ends))))
+    size = kept.astype(np.int32)
+    size += kept & (wide := cells >= 0x80)  # in UTF-8
+    at = np.cumsum(size, dtype=np.int32)
+    ends = np.append(at[start] - size[start], at[-1])  # at most a batch's bytes
+    cells = cells[kept]
+    data = cells.tobytes().decode("utf-16-le").encode() if wide.any() else cells.astype(np.uint8).tobytes()
+    return n, pa.StringArray.from_buffers(len(start), pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data))
+
+
+def all_words(texts: list[str | None]) -> tuple[np.ndarray, pa.Array]:
+    """words_of each text: the n+1 offsets of the texts, and all words."""
+    counts, words = [np.zeros(1, np.int64)], [pa.array([], pa.string())]
+    for odd, part in groupby(texts, _odd):
+        if odd:
+            lists = [words_of(t) for t in part]
+            counts.append(np.array([len(x) for x in lists]))
+            words.append(pa.array([w for x in lists for w in x], pa.string()))
+        else:
+            n, found = _plain_words(list(part))
+            counts.append(n)
+            words.append(found)
+    return np.cumsum(np.concatenate(counts)), pa.concat_arrays(words) if len(words) > 2 else words[-1]
+
+
 class Vocabulary:
     """A tokenizer file's content, checked to have the rules this module splits by."""
 
@@ -111,8 +172,10 @@ def frequent_words(docs: DataFrame, most: int) -> list[str]:
                 yield pa.RecordBatch.from_arrays([words[a : a + 50_000], counts[a : a + 50_000]], ["word", "n"])
 
         for b in batches:
-            for text in b.column(0).to_pylist():
-                seen.update(words_of(text))
+            for a in range(0, b.num_rows, TEXTS):
+                found = all_words(b.column(0).slice(a, TEXTS).to_pylist())[1].value_counts()
+                for word, n in zip(found.field(0).to_pylist(), found.field(1).to_pylist(), strict=True):
+                    seen[word] += n
                 if len(seen) > COUNTED:
                     yield from rows(OFTEN)
         yield from rows(OFTEN)
@@ -149,12 +212,12 @@ class Lookup:
         self.size, self.first = size[kept], (np.cumsum(size) - size).astype(np.int32)[kept]  # bounded by HEAD words
         self.ids = np.frombuffer(b"".join(ids), dtype)
 
-    def find(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def find(self, words: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Whether each word is known, and its first id and number of ids."""
         none = np.zeros(len(words), np.int64)
-        if not len(self.words) or not words:
+        if not len(self.words) or not len(words):
             return none.astype(bool), none, none
-        found = pa.array(words, pa.string()).dictionary_encode()
+        found = (words if isinstance(words, pa.Array) else pa.array(words, pa.string())).dictionary_encode()
         distinct, each = found.dictionary, found.indices.to_numpy()
         own = hashes(distinct)
         at = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
@@ -169,11 +232,9 @@ class Lookup:
         return self.ids[np.repeat(first - (n - size), size) + np.arange(total)]
 
 
-def _split(batch: pa.RecordBatch, column: int, look: Lookup) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+def _split(batch: pa.RecordBatch, column: int, look: Lookup) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """Offsets of the texts' words, the words, whether each is frequent, and its first id and number of ids."""
-    lists = [words_of(t) for t in batch.column(column).to_pylist()]
-    ends = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int64)
-    words = [w for x in lists for w in x]
+    ends, words = all_words(batch.column(column).to_pylist())
     return ends, words, *look.find(words)
 
 
@@ -235,7 +296,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, head: int = HEAD, keep_text:
                 ends, words, have, _, _ = _split(b, 2, look)
                 gone = np.flatnonzero(~have)
                 doc = np.searchsorted(ends, gone, side="right") - 1
-                columns = [b.column(0).take(pa.array(doc)), b.column(1).take(pa.array(doc)), pa.array((gone - ends[doc]).astype(np.int32)), pa.array([words[i] for i in gone], pa.string())]
+                columns = [b.column(0).take(pa.array(doc)), b.column(1).take(pa.array(doc)), pa.array((gone - ends[doc]).astype(np.int32)), words.take(pa.array(gone))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", h, at, "word"])
 
     source, name = spark.sparkContext.broadcast(vocabulary.json), ("tokenizer", vocabulary.name)
@@ -291,11 +352,14 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, head: int = HEAD, keep_text:
 
 def _unpacked(raw: bytes) -> bytes:
     """The content of a zstandard frame, or nothing of nothing."""
-    if not raw:
-        return b""
+    return _unpacker()(raw) if raw else b""
+
+
+@cache
+def _unpacker():
     import zstandard
 
-    return zstandard.ZstdDecompressor().decompress(raw)
+    return zstandard.ZstdDecompressor().decompress
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, column: str = "ids") -> DataFrame:

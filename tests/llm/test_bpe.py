@@ -155,3 +155,24 @@ def test_a_task_leaves_no_batch_or_table_in_its_worker(spark, monkeypatch):
     runtime.ship(spark)
     assert spark.range(64).repartition(64).mapInArrow(runtime.lean(hashed), "id long").count() == 64
     assert spark.range(64).repartition(64).mapInArrow(tables, "id long").agg(F.max("id")).first()[0] == 0
+
+
+def test_texts_split_together_give_the_words_of_each(monkeypatch):
+    rng = random.Random(7)
+    plain = [chr(i) for i in range(0x180) if i != 0x130] + list("  \n\t''''strevlmdSTREVLMDab12--") * 20
+
+    def lists(texts):
+        ends, words = bpe.all_words(texts)
+        words = words.to_pylist()
+        assert len(ends) == len(texts) + 1 and ends[-1] == len(words)
+        return [words[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+    for pool in (plain, plain + ["漢", "İ", " ", "<|endoftext|>", "<|", "\U0001f600"]):
+        for _ in range(1000):
+            texts = [rng.choice([None, "", "".join(rng.choices(pool, k=rng.randint(1, 40)))]) for _ in range(rng.randint(0, 6))]
+            assert lists(texts) == [bpe.words_of(t) for t in texts], texts
+    want = bpe.words_of("It's 'ere, d'Été 42!")
+    monkeypatch.setattr(bpe, "words_of", None)  # texts without odd characters are split by arrays alone
+    batch = pa.RecordBatch.from_arrays([pa.array(["It's 'ere, d'Été 42!", None])], ["text"])
+    ends, words, *_ = bpe._split(batch, 0, bpe.Lookup([], [], "<u2"))
+    assert words.to_pylist() == want and ends.tolist() == [0, len(want), len(want)]
