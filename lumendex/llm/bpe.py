@@ -21,7 +21,6 @@ import hashlib
 import json
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 from itertools import groupby
@@ -158,27 +157,33 @@ def _once(key: object, make):
     return _ready[key]
 
 
+def _summed(parts: list[pa.Table]) -> pa.Table:
+    """word, n with each word once."""
+    return pa.concat_tables(parts).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
+
 def frequent_words(docs: DataFrame, most: int) -> list[str]:
     """The words of `text` that tasks meet often, by how often, `most` at most; every text is read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        parts: list[pa.Table] = []  # words and counts, each word once in a part
 
-        def rows(least: int) -> Iterator[pa.RecordBatch]:
-            words = pa.array([w for w, n in seen.items() if n >= least], pa.string())
-            counts = pa.array([n for n in seen.values() if n >= least], pa.int64())
-            seen.clear()
-            for a in range(0, len(words), 50_000):
-                yield pa.RecordBatch.from_arrays([words[a : a + 50_000], counts[a : a + 50_000]], ["word", "n"])
+        def rows() -> Iterator[pa.RecordBatch]:
+            often = _summed(parts)
+            often = often.filter(pc.greater_equal(often["n"], OFTEN))
+            parts.clear()
+            yield from often.to_batches(max_chunksize=50_000)
 
         for b in batches:
             for a in range(0, b.num_rows, TEXTS):
                 found = all_words(b.column(0).slice(a, TEXTS).to_pylist())[1].value_counts()
-                for word, n in zip(found.field(0).to_pylist(), found.field(1).to_pylist(), strict=True):
-                    seen[word] += n
-                if len(seen) > COUNTED:
-                    yield from rows(OFTEN)
-        yield from rows(OFTEN)
+                parts.append(pa.table({"word": found.field(0), "n": found.field(1)}))
+                if sum(map(len, parts)) > 2 * COUNTED:
+                    parts[:] = [_summed(parts)]
+                    if len(parts[0]) > COUNTED:
+                        yield from rows()
+        if parts:
+            yield from rows()
 
     ship(docs.sparkSession)
     counted = docs.select("text").mapInArrow(lean(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))

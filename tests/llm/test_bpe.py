@@ -176,3 +176,21 @@ def test_texts_split_together_give_the_words_of_each(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(["It's 'ere, d'Été 42!", None])], ["text"])
     ends, words, *_ = bpe._split(batch, 0, bpe.Lookup([], [], "<u2"))
     assert words.to_pylist() == want and ends.tolist() == [0, len(want), len(want)]
+
+
+@pytest.mark.parametrize("counted", [3, 100_000])
+def test_frequent_words_are_counted_in_parts(spark, monkeypatch, counted):
+    texts = [None, "", " "] + [f"the {'owl ' * (i % 3)} word{i}" for i in range(400)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    run = []
+    monkeypatch.setattr(bpe, "COUNTED", counted)
+    monkeypatch.setattr(bpe, "lean", lambda f: run.append(f) or runtime.lean(f))
+    assert bpe.frequent_words(rows, 2) == ["the", "word"]
+    monkeypatch.setattr(bpe, "words_of", None)  # no word of a plain text is a Python object before it is known to be frequent
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])] * 2
+    total = {}
+    for b in run[0](iter(batches)):
+        for word, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            total[word] = total.get(word, 0) + n
+    assert total["the"] == 800 and total["owl"] == 798
+    assert list(run[0](iter([]))) == []
