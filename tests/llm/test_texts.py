@@ -206,6 +206,40 @@ def test_search_rescores_few_under_a_low_threshold(monkeypatch):
     assert len(scored) < 40  # equal scores pass together: 8 documents of each length
 
 
+def test_search_first_rounds_score_in_single_precision(monkeypatch):
+    """A rough round scores nothing in double precision and keeps the best; what it leaves open is then scored alone, like elsewhere."""
+    import pyarrow as pa
+
+    texts = [f"w x{i % 7} " + "y " * (i % 90) + f"z{i}" for i in range(300)]
+    shard = _shard_of(texts, 40.0)
+    lists = [search.term_lists(pa.array([t])) for t in ("w x3 y", "x5 z12 y y")]
+    rows = pa.table({"id": [20, 40], "terms": [x[0].tolist() for x in lists], "counts": [x[1].tolist() for x in lists], "weights": [[1.5] * len(x[0]) for x in lists]})
+    queries = search.Queries(rows, np.zeros(0, np.int64), np.zeros(0, np.int64))
+    queries.prepare()
+    want = {(int(r), int(d)): s for rows, docs, score in shard.top(queries, np.zeros(2), 10) for r, d, s in zip(rows, docs, score, strict=True)}
+    scored, exact = [], search.Shard._exact
+    monkeypatch.setattr(search.Shard, "_exact", lambda self, doc, *a: scored.append(doc) or exact(self, doc, *a))
+    least = np.zeros(2)
+    found = {(int(r), int(d)): s for rows, docs, score in shard.top(queries, least, 10, rough=True) for r, d, s in zip(rows, docs, score, strict=True)}
+    assert not scored and len(want) == 20 and want.keys() <= found.keys() and len(found) < 60
+    assert all(found[x] == pytest.approx(s, rel=1e-5) for x, s in want.items())
+    assert all(0 < low <= min(s for (r, _), s in want.items() if r == i) for i, low in enumerate(least))
+    pairs = sorted((int(shard.ids[d]), r) for r, d in found)
+    known = [np.array([x[i] for x in pairs]) for i in (1, 0)]
+    got = {(int(r), int(d)): s for rows, docs, score in shard.again(queries, *known) for r, d, s in zip(rows, docs, score, strict=True)}
+    assert got.keys() == found.keys() and len(scored) == len(found) and all(got[x] == s for x, s in want.items())
+
+
+def test_search_crowds_of_equal_scores(spark):
+    """More equal scores than are carried from round to round: the least ids are the best all the same, over many shards."""
+    rows = [(i, "a b c") for i in range(1, 700)] + [(i, f"a b c d{i}") for i in range(700, 900)] + [(60, "a b c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {}
+    for r in search.top_k(df, F.col("doc_id").isin(20, 60, 800), shard_rows=8).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["doc_id"])
+    assert got == {20: list(range(1, 11)), 60: list(range(1, 11)), 800: [800, *range(1, 10)]}
+
+
 def test_search_query_rows_of_equal_id(spark):
     """Query rows of one id are one query of all their words, and documents that differ outside it rank by id."""
     rows = [(20, "a b"), (20, "b c"), (1, "b b"), (2, "c d"), (5, "a y1 y2"), (4, "a z1 z2"), (3, "e f")]
